@@ -41,3 +41,12 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` once in the shared checkpoint folder and cut its lineage."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by ``keys`` into as many tasks as the session shuffles into.
+
+    For Python stages: their cost follows the rows, not the bytes by which adaptive execution merges
+    small partitions, and it leaves a partitioning that names its number as it is.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
