@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.names import cluster_links
 from ledgerloom.llm.text import distance, grams, near, plain
-from ledgerloom.session import cut
+from ledgerloom.session import cut, spread
 
 MIN_COSINE, MIN_LINKAGE, GRAM = 0.20, 0.15, 4
 
@@ -150,7 +150,7 @@ def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def location_parties(addresses: DataFrame) -> DataFrame:
     """(address, class_key, location) of every distinct string with a house number and a street."""
-    distinct = addresses.select("address").where(F.trim("address") != "").distinct()
+    distinct = spread(addresses.select("address").where(F.trim("address") != ""), "address").dropDuplicates(["address"])
     parsed = cut(distinct.mapInPandas(_parse_batches, _SCHEMA))
     usable = parsed.where((F.col("number") != "") & (F.col("street") != ""))
     parts = ["number", "street", "kind", "locality", "lkind", "pin", "rest"]
@@ -192,7 +192,7 @@ def location_parties(addresses: DataFrame) -> DataFrame:
             keep = [same_location(tuple(x[c] for c in parts), tuple(y[c] for c in parts)) for x, y in zip(pdf["pa"], pdf["pb"])]
             yield pdf.loc[keep, ["a", "b", "sim"]]
 
-    links = both.mapInPandas(verify, "a string, b string, sim double")
+    links = spread(both, "a").mapInPandas(verify, "a string, b string, sim double")
     clusters = cluster_links(links, MIN_LINKAGE)
     out = usable.select("address", "class_key").join(clusters.withColumnRenamed("id", "class_key"), "class_key", "left")
     return out.select("address", "class_key", F.coalesce("cluster", "class_key").alias("location"))
