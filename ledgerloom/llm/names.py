@@ -4,9 +4,9 @@
    away or are brought to one word, abbreviations are written out, split and hyphenated parts are
    kept. Strings with the same parse form one class, so copies and mere spelling of punctuation
    never reach the join.
-2. Classes become character 4-gram vectors with tf-idf weights. A sparse similarity join finds all
-   pairs with a cosine of at least ``MIN_COSINE``: grams are ordered from rare to common, and only
-   the prefix that could still carry that cosine is posted, which is exact (no posting is capped).
+2. The distinctive parts of the classes become character 4-gram vectors with tf-idf weights, and a
+   distributed sparse product finds all pairs with a cosine of at least ``MIN_COSINE`` (the top n of
+   every string, with n left open: no posting and no list of partners is capped).
 3. Pairs are verified structurally (``compatible``): the distinctive part may differ by typing slips,
    trade words by abbreviation, initials or truncation; given names may be initials or short forms.
    Sister firms (same owner name, other trade) and relatives (same surname, other given name) fail.
@@ -25,12 +25,12 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.components import connected_components
 from ledgerloom.llm.text import grams, near, plain
-from ledgerloom.session import cut
+from ledgerloom.session import cut, spread
 
 #: Least cosine of the n-gram vectors of two classes, and least average similarity within a party.
 MIN_COSINE, MIN_LINKAGE = 0.25, 0.20
@@ -92,9 +92,9 @@ def parse_name(raw: str) -> tuple[str, list[str], list[str], list[str], list[str
     s = re.sub(r"\s+-\s+[a-z]+\s*$", "", s)  # a branch after a dash
     s = s.replace("&", " and ").replace("(p)", " private ").replace("pvt.ltd", " private limited ").replace("l.l.p", "llp")
     comma = s.find(",")
-    branch = re.search(r",\s*[a-z]{4,}\.?$", s)  # a branch after a comma, behind a name that is whole without it
+    branch = re.search(r",\s*[A-Za-z]{4,}\.?\s*$", raw)  # a branch after a comma, behind a name that is whole without it
     if branch:
-        whole = parse_name(s[: branch.start()])
+        whole = parse_name(raw[: branch.start()])
         if whole[0] == "firm" and len("".join(whole[1])) >= 5 and (whole[2] or whole[3]):
             return whole
     s = re.sub(r"(?<=[a-z0-9])-+(?=[a-z0-9])(?=[a-z0-9])", "", s)
@@ -260,60 +260,31 @@ def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def parse_names(names: DataFrame) -> DataFrame:
     """Distinct non-blank strings of column ``name`` with their parse."""
-    distinct = names.select("name").where(F.trim("name") != "").distinct()
+    distinct = spread(names.select("name").where(F.trim("name") != ""), "name").dropDuplicates(["name"])
     return distinct.mapInPandas(_parse_batches, _CLASS_SCHEMA)
 
 
 def cosine_pairs(vectors: DataFrame, min_cosine: float) -> DataFrame:
     """All pairs (a, b, cosine) with a < b of rows (id bigint, grams) whose tf-idf cosine is at least ``min_cosine``.
 
-    Document frequencies cover all rows. Grams are ranked from rare to common; a row posts its grams
-    up to the point where the rest could no longer carry the cosine, and two rows with that cosine
-    must meet in their posted grams. What the posted grams leave open is bounded by the norms of the
-    rests; only pairs within that bound have their whole vectors compared.
+    A sparse matrix product by gram: document frequencies cover all rows, every gram is posted, and
+    the dot products are summed before the pairs leave the map side. Vectors are of unit length, so
+    the sum is the cosine and nothing has to be looked up again.
     """
     spark = vectors.sparkSession
     n = vectors.count()
     if n == 0:
         return spark.createDataFrame([], "a bigint, b bigint, cosine double")
     post = vectors.select("id", F.explode("grams").alias("g"))
-    df = post.groupBy("g").agg(F.count("*").alias("df"))
-    weighted = post.join(df, "g").select("id", F.xxhash64("g").alias("g"), "df", F.log(1 + F.lit(n) / F.col("df")).alias("w"))
-    rows = weighted.groupBy("id").agg(F.sum(F.col("w") * F.col("w")).alias("norm2"), F.array_sort(F.collect_list(F.struct("df", "g", "w"))).alias("v"))
-    rows = cut(rows)
-
-    def post_prefix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """From rare to common until the rest's share of the norm is below the cosine; ``rest`` is that share."""
-        for pdf in batches:
-            out = []
-            for i, norm2, v in zip(pdf["id"], pdf["norm2"], pdf["v"]):
-                left, k = 1.0, 0
-                while k < len(v) and left >= min_cosine * min_cosine - 1e-9:
-                    left -= v[k]["w"] ** 2 / norm2
-                    k += 1
-                rest = max(0.0, left) ** 0.5 if k < len(v) else 0.0
-                out += [(i, e["g"], e["w"] / norm2**0.5, rest) for e in v[:k]]
-            yield pd.DataFrame(out, columns=["id", "g", "u", "rest"])
-
-    posted = cut(rows.mapInPandas(post_prefix, "id bigint, g bigint, u double, rest double"))
-    left = posted.select(F.col("id").alias("a"), "g", F.col("u").alias("ua"), F.col("rest").alias("ra"))
-    right = posted.select(F.col("id").alias("b"), "g", F.col("u").alias("ub"), F.col("rest").alias("rb"))
-    met = left.join(right, "g").where(F.col("a") < F.col("b")).groupBy("a", "b").agg(F.sum(F.col("ua") * F.col("ub")).alias("dot"), F.max(F.col("ra") + F.col("rb")).alias("open"))
-    # What the unposted grams of either side could add is at most the norm of its rest.
-    met = met.where(F.col("dot") + F.col("open") >= min_cosine)
-    va = rows.select(F.col("id").alias("a"), F.col("norm2").alias("na"), F.col("v.g").alias("ga"), F.col("v.w").alias("wa"))
-    vb = rows.select(F.col("id").alias("b"), F.col("norm2").alias("nb"), F.col("v.g").alias("gb"), F.col("v.w").alias("wb"))
-    pairs = met.join(va, "a").join(vb, "b")
-
-    def dot(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for a, b, na, nb, ga, wa, gb, wb in zip(*(pdf[c] for c in ("a", "b", "na", "nb", "ga", "wa", "gb", "wb"))):
-                other = dict(zip(gb, wb))
-                out.append((a, b, sum(w * other.get(g, 0.0) for g, w in zip(ga, wa)) / (na * nb) ** 0.5))
-            yield pd.DataFrame(out, columns=["a", "b", "cosine"])
-
-    return pairs.mapInPandas(dot, "a bigint, b bigint, cosine double").where(F.col("cosine") >= min_cosine)
+    df = post.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
+    norm = Window.partitionBy("id")
+    # A gram of one row meets nothing but counts in the row's length.
+    weighted = post.join(df, "g", "left").select("id", F.xxhash64("g").alias("g"), "df", F.log(1 + F.lit(n) / F.coalesce("df", F.lit(1))).alias("w"))
+    units = cut(weighted.select("id", "g", "df", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(norm))).alias("u")).where("df > 1").select("id", "g", "u"))
+    left = units.select(F.col("id").alias("a"), "g", F.col("u").alias("ua"))
+    right = units.select(F.col("id").alias("b"), "g", F.col("u").alias("ub"))
+    met = left.join(right, "g").where(F.col("a") < F.col("b")).groupBy("a", "b").agg(F.sum(F.col("ua") * F.col("ub")).alias("cosine"))
+    return met.where(F.col("cosine") >= min_cosine)
 
 
 def average_linkage(links: list[tuple[str, str, float]], least: float) -> dict[str, str]:
@@ -384,7 +355,7 @@ def cluster_links(links: DataFrame, least: float) -> DataFrame:
         got = average_linkage(list(zip(pdf["a"], pdf["b"], pdf["sim"])), least)
         return pd.DataFrame(list(got.items()), columns=["id", "cluster"])
 
-    small = placed.where(F.col("n_links") <= LOCAL_LINKS).groupBy("component").applyInPandas(local, "id string, cluster string")
+    small = spread(placed.where(F.col("n_links") <= LOCAL_LINKS), "component").groupBy("component").applyInPandas(local, "id string, cluster string")
     large = placed.where(F.col("n_links") > LOCAL_LINKS).select("a", "b", "sim")
     return small if large.isEmpty() else small.union(_linkage_rounds(large, least))
 
@@ -416,7 +387,7 @@ def name_parties(names: DataFrame) -> DataFrame:
                 keep.append(compatible(pa, pb))
             yield pdf.loc[keep, ["a", "b", "cosine"]].rename(columns={"cosine": "sim"})
 
-    links = both.mapInPandas(verify, "a string, b string, sim double")
+    links = spread(both, "a").mapInPandas(verify, "a string, b string, sim double")
     clusters = cluster_links(links, MIN_LINKAGE)
     out = parsed.select("name", "class_key").join(clusters.withColumnRenamed("id", "class_key"), "class_key", "left")
     return out.select("name", "class_key", F.coalesce("cluster", "class_key").alias("party"))
