@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,3 +51,11 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     small partitions, and it leaves a partitioning that names its number as it is.
     """
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def write_out(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` as a table in the shared checkpoint folder; later reads take only the columns they need."""
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
