@@ -32,3 +32,30 @@ def best_with_margin(df: DataFrame, key: list[str], score: str, tie: list[Column
     w = Window.partitionBy(*key).orderBy(F.col(score).desc(), *tie)
     df = df.withColumn("runner_up", F.lead(score).over(w)).withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
     return df.withColumn("margin", F.round(F.col(score) - F.coalesce("runner_up", F.lit(0.0)), 6))
+
+
+def spatial_alignment(pairs: DataFrame, key: list[str], reach: float = 300.0) -> DataFrame:
+    """Mean closeness of shared anchors: 1 at the same place, 0 from ``reach`` on; ``pairs`` has ax, ay, bx, by."""
+    d = F.sqrt(F.pow(F.col("ax") - F.col("bx"), 2) + F.pow(F.col("ay") - F.col("by"), 2))
+    return pairs.groupBy(*key).agg(F.avg(F.greatest(F.lit(0.0), 1 - d / reach)).alias("spatial"), F.count("*").alias("shared"))
+
+
+def match_templates(queries: DataFrame, templates: DataFrame, top: int = 20) -> DataFrame:
+    """Best template of every query among those with the same retrieval key, with the margin to the next.
+
+    Both sides have (id, key, anchor, x, y, weight). Candidates come from the key (at most ``top`` per
+    query, the heaviest first, a top-k by definition); they are scored by Jaccard of the anchors and by
+    spatial alignment of the shared ones.
+    """
+    head = templates.groupBy("key", F.col("id").alias("template")).agg(F.max("weight").alias("weight"))
+    w = Window.partitionBy("key").orderBy(F.desc("weight"), "template")
+    head = head.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= top).select("key", "template")
+    q = queries.select("id", "key", "anchor", F.col("x").alias("ax"), F.col("y").alias("ay"))
+    t = templates.groupBy(F.col("id").alias("template"), "anchor").agg(F.avg("x").alias("bx"), F.avg("y").alias("by"))
+    size_q, size_t = q.groupBy("id").agg(F.countDistinct("anchor").alias("nq")), t.groupBy("template").agg(F.count("*").alias("nt"))
+    joined = q.join(head, "key").join(t, ["template", "anchor"])
+    s = spatial_alignment(joined, ["id", "template"]).join(size_q, "id").join(size_t, "template")
+    s = s.withColumn("jaccard", F.col("shared") / (F.col("nq") + F.col("nt") - F.col("shared")))
+    s = s.withColumn("score", F.round(0.5 * F.col("jaccard") + 0.5 * F.col("spatial"), 4))
+    best = best_with_margin(s, ["id"], "score", [F.col("template")])
+    return best.select("id", "template", "score", "margin", (F.col("margin") < 0.05).alias("ambiguous"))

@@ -196,3 +196,26 @@ s AS (SELECT *, round(confidence * least(1.0, (least(seq - chunk * 32, 63 - (seq
 SELECT doc_id, seq, label, sure, n_chunks FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, seq) AS n_chunks, row_number() OVER (PARTITION BY doc_id, seq ORDER BY CAST(label <> 'O' AS INT) DESC, sure DESC, chunk) rn FROM s) WHERE rn = 1""")
 def chunk_windows_vote(spark: SparkSession, d: str) -> DataFrame:
     return layout.chunk_votes(_labelled(spark, d), 64, 32)
+
+
+_T = f"SELECT f.run_id, f.template_family_id AS fam, j.vendor_gstin AS key, f.field_name AS anchor, avg((least(bbox[1], bbox[3]) + greatest(bbox[1], bbox[3])) / 2) AS x, avg((least(bbox[2], bbox[4]) + greatest(bbox[2], bbox[4])) / 2) AS y FROM (SELECT DISTINCT reading_id, run_id, job_id, template_family_id, field_name, bbox FROM extracted_fields WHERE len(bbox) = 4 AND template_family_id IS NOT NULL) f JOIN (SELECT job_id, vendor_gstin FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY received_at DESC, batch_no) rn FROM invoice_facts) WHERE rn = 1 AND vendor_gstin <> '') j ON f.job_id = j.job_id GROUP BY 1, 2, 3, 4"
+
+
+@query(f"""WITH b AS ({_T}), h AS (SELECT key, fam, row_number() OVER (PARTITION BY key ORDER BY n DESC, fam) AS rn FROM (SELECT key, fam, count(*) AS n FROM b GROUP BY 1, 2)),
+t AS (SELECT fam, anchor, avg(x) AS bx, avg(y) AS byy FROM b GROUP BY 1, 2), nq AS (SELECT run_id, count(DISTINCT anchor) AS nq FROM b GROUP BY 1), nt AS (SELECT fam, count(*) AS nt FROM t GROUP BY 1),
+s AS (SELECT b.run_id, h.fam, avg(greatest(0.0, 1 - sqrt(pow(b.x - t.bx, 2) + pow(b.y - t.byy, 2)) / 300.0)) AS spatial, count(*) AS shared FROM b JOIN h ON b.key = h.key AND h.rn <= 20 JOIN t ON t.fam = h.fam AND t.anchor = b.anchor GROUP BY 1, 2),
+c AS (SELECT s.run_id, s.fam, round(0.5 * shared / (nq + nt - shared) + 0.5 * spatial, 4) AS score FROM s JOIN nq USING (run_id) JOIN nt USING (fam))
+SELECT run_id AS id, fam AS template, score, round(score - coalesce(nxt, 0), 6) AS margin, round(score - coalesce(nxt, 0), 6) < 0.05 AS ambiguous FROM (SELECT *, lead(score) OVER w AS nxt, row_number() OVER w AS rn FROM c WINDOW w AS (PARTITION BY run_id ORDER BY score DESC, fam)) WHERE rn = 1""")
+def template_match(spark: SparkSession, d: str) -> DataFrame:
+    """Every run against the template families of its vendor: anchors are its fields, placed by their boxes."""
+    from ledgerloom.operators.retrieval import match_templates
+    from ledgerloom.plans.jobs import jobs
+
+    f = table(spark, d, "extracted_fields", ["reading_id", "run_id", "job_id", "template_family_id", "field_name", "bbox"]).distinct().where("size(bbox) = 4 AND template_family_id IS NOT NULL")
+    mid = lambda i, k: (F.least(F.col("bbox")[i], F.col("bbox")[k]) + F.greatest(F.col("bbox")[i], F.col("bbox")[k])) / 2
+    b = f.join(jobs(spark, d, ["vendor_gstin"]).where("vendor_gstin <> ''").select("job_id", F.col("vendor_gstin").alias("key")), "job_id")
+    b = b.groupBy("run_id", "template_family_id", "key", F.col("field_name").alias("anchor")).agg(F.avg(mid(0, 2)).alias("x"), F.avg(mid(1, 3)).alias("y"))
+    from pyspark.sql import Window
+
+    heavy = b.withColumn("weight", F.count("*").over(Window.partitionBy("key", "template_family_id")))
+    return match_templates(b.select(F.col("run_id").alias("id"), "key", "anchor", "x", "y"), heavy.select(F.col("template_family_id").alias("id"), "key", "anchor", "x", "y", "weight"))
