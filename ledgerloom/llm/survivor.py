@@ -1,8 +1,8 @@
 """Best representative of each duplicate group: one surviving value per field by truth discovery.
 
 Every reading and every candidate it lists is a claim (job, field, source, value). A claim's source is
-who made it, whether as a value or a candidate, and in which band of stated confidence, so that a
-reader who is right when sure and wrong when unsure counts as two sources. Alternately
+who read it if the reading is sure, otherwise how it came (an unsure reading, a candidate) and in which
+band of stated confidence. Alternately
 
     support of a value   = sum of the log-odds of its claims' sources, plus its plausibility
     reliability of a source = mean posterior of the values it claims
@@ -14,8 +14,9 @@ repeated run) keep their stated reliability: where they speak, the machines most
 A value that is only the beginning of a longer claimed value supports the longer one (the most complete
 value wins), placeholders are no claims, and forms that the field cannot have are held to be implausible.
 
-Claims are counted by (group, source, value) before a group is gathered, so repeated readings of one
-hot group shrink to its distinct values; reliabilities are a table of a few dozen rows (bounded by
+Groups with the same pattern of claims have the same posterior, so learning runs over distinct patterns
+with their counts, not over groups. Claims are counted by (group, source, value) before a group is
+gathered, so repeated readings of one hot group shrink to its distinct values; reliabilities are a table of a few dozen rows (bounded by
 sources x kinds x bands, checked). Defined results: groups without any claim give a null value; ties go
 to the larger support of trusted and recent claims, then to the smaller string; rows with the same
 reading id are one reading; empty tables give empty results.
@@ -24,20 +25,21 @@ reading id are one reading; empty tables give empty results.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
-from datetime import date
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.session import cut, spread
+from ledgerloom.session import spread, write_out
 
 #: Kinds of claims whose reliability is given, not learned.
 TRUSTED = {"human_corrected": 0.999999, "rerun": 0.99999}
 
-#: Bands of stated confidence.
+#: Patterns whose outcome a worker remembers.
+CACHE = 200_000
+
+#: Bands of stated confidence; a reading counts as sure from the first bound on.
 BANDS = (0.55, 0.7)
 
 TOLERANCE, MAX_ROUNDS, MAX_SOURCES = 1e-3, 25, 1_000
@@ -51,42 +53,61 @@ IMPLAUSIBLE, PREFIX_SHARE = 1.5, 1.0
 # What systems write for "nothing".
 PLACEHOLDERS = ["", "-", "--", "n/a", "na", "n.a.", "null", "none", "nil", "nan", "unknown", "not available", "?", "??", "???", "tbd"]
 
-_TAX = re.compile(r"^\d{2}[A-Z]{5}\d{4}[A-Z][A-Z\d]Z[A-Z\d]$|^\d{2}[A-Z]{5}\d{4}[A-Z]\d[A-Z]\d[A-Z\d]?$|^\d{2}[A-Z]{5}\d{4}[A-Z\d]{4}$")
-_MIXED = re.compile(r"(?<![A-Za-z])[A-Za-z](?=\d)|(?<=\d)[A-Za-z]")
+def plausible(field: Column, text: Column) -> Column:
+    """Could the field hold this form?"""
+    day, month, year = (F.regexp_extract(text, r"^(\d{2})/(\d{2})/(\d{4})$", i).try_cast("int") for i in (1, 2, 3))
+    last = F.when(month.isin(4, 6, 9, 11), 30).when(month == 2, 29).otherwise(31)
+    dated = day.between(1, last) & month.between(1, 12) & year.between(1990, 2100)
+    ok = (
+        F.when(field.endswith("gstin"), text.rlike(r"^\d{2}[A-Z]{5}\d{4}[A-Z][A-Z\d]Z[A-Z\d]$|^\d{2}[A-Z]{5}\d{4}[A-Z]\d[A-Z]\d[A-Z\d]?$|^\d{2}[A-Z]{5}\d{4}[A-Z\d]{4}$"))
+        .when(field.isin("grand_total", "subtotal", "tax_amount"), text.rlike(r"^-?\d+\.\d{2}$"))
+        .when(field.endswith("date"), F.coalesce(dated, ~text.rlike(r"^[\d/OIZSBGl]+$")))
+        .when(field == "invoice_number", ~text.rlike(r"(?<![A-Za-z])[A-Za-z](?=\d)|(?<=\d)[A-Za-z]"))
+        .otherwise(~text.rlike(r"[A-Za-z]\d|\d[A-Za-z]|[a-z][A-Z]"))
+    )
+    return F.coalesce(ok, F.lit(False))
+
 
+def groups_of(readings: DataFrame) -> DataFrame:
+    """(job_id, field_name, several, texts, pattern) of every group, in one exchange.
 
-def plausible(field: str, text: str) -> bool:
-    """Could the field hold this form?"""
-    if field.endswith("gstin"):
-        return bool(_TAX.match(text))
-    if field in ("grand_total", "subtotal", "tax_amount"):
-        return bool(re.fullmatch(r"-?\d+\.\d{2}", text))
-    if field.endswith("date"):
-        m = re.fullmatch(r"(\d{2})/(\d{2})/(\d{4})", text)
-        if not m:
-            return not re.fullmatch(r"[\d/OIZSBGl]+", text)
-        try:
-            return bool(date(int(m[3]), int(m[2]), int(m[1])) and 1990 < int(m[3]) < 2100)
-        except ValueError:
-            return False
-    if field == "invoice_number":
-        return not _MIXED.search(text)
-    return not re.search(r"[A-Za-z]\d|\d[A-Za-z]", text) and not re.search(r"[a-z][A-Z]", text)
-
-
-def claims_of(readings: DataFrame) -> DataFrame:
-    """(job_id, field_name, sid, text, n): counted claims; repeated deliveries of a reading count once."""
-    once = spread(readings, "reading_id").dropDuplicates(["reading_id"])
+    ``pattern`` is all that truth discovery looks at: for every counted claim its source, the number of
+    its text and how often it is made, then the plausibility of each text and its longer form.
+    """
     band = lambda c: F.when(c < BANDS[0], "low").when(c < BANDS[1], "mid").otherwise("high")
-    kind = F.when(F.col("source") == "human_corrected", "human_corrected").when(F.col("selection_reason") == "rerun", "rerun")
-    own = F.struct(F.coalesce(kind, F.concat_ws("|", F.lit("value"), F.coalesce("source", F.lit("?")), band(F.coalesce("confidence", F.lit(0.0))))).alias("sid"), F.col("value").alias("text"))
-    others = F.transform(
-        F.coalesce("candidates", F.array()),
-        lambda c: F.struct(F.concat_ws("|", F.lit("candidate"), F.coalesce(c["source"], F.lit("?")), band(F.coalesce(c["confidence"], F.lit(0.0)))).alias("sid"), c["text"].alias("text")),
+    own_sid = (
+        F.when(F.col("source") == "human_corrected", "human_corrected")
+        .when(F.col("selection_reason") == "rerun", "rerun")
+        .when(F.coalesce("confidence", F.lit(0.0)) < BANDS[0], "value||low")
+        .otherwise(F.concat(F.lit("value|"), F.coalesce("source", F.lit("?")), F.lit("|sure")))
     )
-    rows = once.select("job_id", "field_name", F.explode(F.concat(F.array(own), others)).alias("c")).select("job_id", "field_name", "c.sid", "c.text")
-    blank = F.lower(F.trim("text")).isin(PLACEHOLDERS)
-    return rows.where(F.col("text").isNotNull() & ~blank).groupBy("job_id", "field_name", "sid", "text").agg(F.count("*").cast("int").alias("n"))
+    filled = lambda t: F.when(~F.lower(F.trim(t)).isin(PLACEHOLDERS), t)
+    own = F.array(F.struct(own_sid.alias("sid"), filled(F.col("value")).alias("text")))
+    others = F.transform(F.coalesce("candidates", F.array()), lambda c: F.struct(F.concat(F.lit("candidate||"), band(F.coalesce(c["confidence"], F.lit(0.0)))).alias("sid"), filled(c["text"]).alias("text")))
+    rows = spread(readings.select("job_id", "field_name", "reading_id", F.concat(own, others).alias("said")), "job_id", "field_name")
+    # Equal to the exchange's keys or finer, so none of these steps moves a row again.
+    rows = rows.dropDuplicates(["job_id", "field_name", "reading_id"]).select("job_id", "field_name", "reading_id", F.inline("said"))
+    counted = rows.groupBy("job_id", "field_name", "sid", "text").agg(F.count("*").cast("int").alias("n"), F.min("reading_id").alias("lo"), F.max("reading_id").alias("hi"))
+    counted = counted.withColumn("ok", plausible(F.col("field_name"), F.col("text")))
+    claim = F.when(F.col("text").isNotNull(), F.struct("sid", "text", "n", "ok"))
+    g = counted.groupBy("job_id", "field_name").agg((F.min("lo") < F.max("hi")).alias("several"), F.array_sort(F.collect_list(claim)).alias("c"))
+    g = g.withColumn("texts", F.array_distinct(F.transform("c", lambda c: c["text"])))
+    flags = F.transform("texts", lambda t: F.exists("c", lambda c: (c["text"] == t) & c["ok"]).cast("int"))
+    g = g.withColumn("flags", flags)
+    # The longest plausible text that begins with this one, as its number from 1; 0 if there is none.
+    longer = lambda t: F.filter("texts", lambda x, i: (F.length(x) > F.length(t)) & (F.length(t) >= 2) & x.startswith(t) & (F.try_element_at("flags", i + 1) == 1))
+    best = lambda xs: F.aggregate(xs, F.lit(""), lambda a, x: F.when((F.length(x) > F.length(a)) | ((F.length(x) == F.length(a)) & (x > a)), x).otherwise(a))
+    ext = F.transform("texts", lambda t: F.array_position("texts", best(longer(t))))
+    claims = F.transform("c", lambda c: F.concat_ws(":", c["sid"], F.array_position("texts", c["text"]).cast("string"), c["n"].cast("string")))
+    pattern = F.concat_ws(";", F.array_join(claims, ","), F.array_join(F.transform("flags", lambda x: x.cast("string")), ","), F.array_join(F.transform(ext, lambda x: x.cast("string")), ","))
+    return g.select("job_id", "field_name", "several", "texts", pattern.alias("pattern"))
+
+
+def read_pattern(pattern: str) -> tuple[list[tuple[str, int, int]], list[bool], list[int]]:
+    """([(source, text number, times)], plausible, number of the longer form) with numbers from 0, -1 for none."""
+    claims, flags, ext = pattern.split(";")
+    out = [c.rsplit(":", 2) for c in claims.split(",")] if claims else []
+    return [(s, int(t) - 1, int(n)) for s, t, n in out], [x == "1" for x in flags.split(",")], [int(x) - 1 for x in ext.split(",") if x]
 
 
 def _logit(p: float, false_values: int = 1) -> float:
@@ -98,33 +119,31 @@ def _reader(sid: str) -> str:
     return sid.split("|")[1] if sid.startswith("value|") else ""
 
 
-def posteriors(field: str, claims: list[dict], weight: dict[str, float], copied: dict[tuple[str, str], float]) -> dict[str, float]:
-    """Posterior of every claimed value of one group."""
-    support: dict[str, float] = {}
-    heard: dict[str, list[str]] = {}
-    for c in sorted(claims, key=lambda c: (-weight.get(c["sid"], 0.0), c["sid"])):
+def posteriors(parsed: tuple, weight: dict[str, float], copied: dict[tuple[str, str], float]) -> list[float]:
+    """Posterior of every text of a pattern."""
+    claims, flags, ext = parsed
+    own = [0.0] * len(flags)
+    heard: list[list[str]] = [[] for _ in flags]
+    for sid, t, n in sorted(claims, key=lambda c: (-weight.get(c[0], 0.0), c[0])):
         # A source that repeats itself is hardly more certain.
-        w = weight.get(c["sid"], 0.0) * (1 + math.log(c["n"]))
-        reader, before = _reader(c["sid"]), heard.setdefault(c["text"], [])
+        w = weight.get(sid, 0.0) * (1 + math.log(n))
+        reader = _reader(sid)
         if reader and w > 0:
-            for other in before:
+            for other in heard[t]:
                 w *= (1 - copied.get((reader, other), 0.0)) ** 3
-            before.append(reader)
-        support[c["text"]] = support.get(c["text"], 0.0) + w
-    own = dict(support)
-    for t in own:
-        if not plausible(field, t):
-            support[t] -= IMPLAUSIBLE
-        if len(t) >= 2:
-            longer = [x for x in own if len(x) > len(t) and x.startswith(t) and plausible(field, x)]
-            if longer:
-                best = max(longer, key=lambda x: (own[x], len(x), x))
-                support[best] += PREFIX_SHARE * max(own[t], 0.0)
-                support[t] = min(support[t], support[best] - 2.0)
-    top = max(support.values())
-    e = {t: math.exp(max(s - top, -60)) for t, s in support.items()}
-    z = sum(e.values())
-    return {t: v / z for t, v in e.items()}
+            heard[t].append(reader)
+        own[t] += w
+    support = [v if ok else v - IMPLAUSIBLE for v, ok in zip(own, flags)]
+    for t, x in enumerate(ext):
+        if x >= 0:
+            support[x] += PREFIX_SHARE * max(own[t], 0.0)
+    for t, x in enumerate(ext):
+        if x >= 0:
+            support[t] = min(support[t], support[x] - 2.0)
+    top = max(support)
+    e = [math.exp(max(s - top, -60)) for s in support]
+    z = sum(e)
+    return [v / z for v in e]
 
 
 def _start(sid: str) -> float:
@@ -132,13 +151,12 @@ def _start(sid: str) -> float:
     kind, _, rest = sid.partition("|")
     if kind in TRUSTED:
         return TRUSTED[kind]
-    band = rest.rpartition("|")[2]
-    return {"low": 0.35, "mid": 0.6, "high": 0.7}[band] - (0.0 if kind == "value" else {"low": 0.1, "mid": 0.1, "high": -0.05}[band])
+    return {"low": 0.25, "mid": 0.5, "high": 0.75, "sure": 0.65}[rest.rpartition("|")[2]] + (0.1 if kind == "value" and rest == "|low" else 0.0)
 
 
-def discover(groups: DataFrame) -> tuple[dict[str, float], dict[tuple[str, str], float]]:
-    """Reliability of every source and dependence of every two readers, learned over all groups."""
-    sids = [r[0] for r in groups.select(F.explode("claims.sid")).distinct().limit(MAX_SOURCES + 1).collect()]
+def discover(patterns: DataFrame) -> tuple[dict[str, float], dict[tuple[str, str], float]]:
+    """Reliability of every source and dependence of every two readers, learned over all (pattern, n)."""
+    sids = sorted({r[0] for r in patterns.select(F.explode(F.split(F.split_part("pattern", F.lit(";"), F.lit(1)), ",")).alias("c")).select(F.regexp_replace("c", r":\d+:\d+$", "")).distinct().limit(MAX_SOURCES + 1).collect()} - {""})
     if len(sids) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources of claims")
     rel, copied = {s: _start(s) for s in sids}, {}
@@ -149,24 +167,28 @@ def discover(groups: DataFrame) -> tuple[dict[str, float], dict[tuple[str, str],
             def run(batches: Iterator[pd.DataFrame], weight: dict = weight, copied: dict = copied) -> Iterator[pd.DataFrame]:
                 total: dict[tuple[str, str], list[float]] = {}
                 for pdf in batches:
-                    for field, claims in zip(pdf["field_name"], pdf["claims"]):
-                        p = posteriors(field, claims, weight, copied)
-                        for c in claims:
-                            t = total.setdefault((c["sid"], ""), [0.0, 0.0])
-                            t[0] += p[c["text"]] * c["n"]
-                            t[1] += c["n"]
+                    for pattern, times in zip(pdf["pattern"], pdf["n"]):
+                        parsed = read_pattern(pattern)
+                        claims = parsed[0]
+                        if not claims:
+                            continue
+                        p = posteriors(parsed, weight, copied)
+                        for sid, text, n in claims:
+                            t = total.setdefault((sid, ""), [0.0, 0.0])
+                            t[0] += p[text] * n * times
+                            t[1] += n * times
                         # Pairs of readers are few: a reader counts once for each value of a group.
-                        said = sorted({(_reader(c["sid"]), c["text"]) for c in claims} - {("", c["text"]) for c in claims})
+                        said = sorted({(_reader(sid), text) for sid, text, _ in claims if _reader(sid)})
                         for i, (x, tx) in enumerate(said):
                             for y, ty in said[i + 1 :]:
                                 if x != y:
                                     t = total.setdefault((x, y), [0.0, 0.0])
                                     wrong = 1 - p[tx] if tx == ty else 0.0
-                                    t[0] += wrong
-                                    t[1] += wrong if tx == ty else 1.0
+                                    t[0] += wrong * times
+                                    t[1] += (wrong if tx == ty else 1.0) * times
                 yield pd.DataFrame([(a, b, v, n) for (a, b), (v, n) in total.items()], columns=["x", "y", "hits", "n"])
 
-            got = groups.select("field_name", "claims").mapInPandas(run, "x string, y string, hits double, n double").groupBy("x", "y").agg(F.sum("hits"), F.sum("n")).collect()
+            got = patterns.mapInPandas(run, "x string, y string, hits double, n double").groupBy("x", "y").agg(F.sum("hits"), F.sum("n")).collect()
             new = {x: TRUSTED.get(x, (h + 4 * _start(x)) / (n + 4)) for x, y, h, n in got if not y}
             moved = max((abs(new[s] - rel[s]) for s in new), default=0.0)
             rel = {**rel, **new}
@@ -184,25 +206,32 @@ def weights_of(rel: dict[str, float], copied: dict) -> dict[str, float]:
 
 
 def surviving_values(readings: DataFrame) -> DataFrame:
-    """(job_id, field_name, best_value, posterior, n_claims) for every group with a claim."""
-    claims = claims_of(readings)
-    groups = cut(spread(claims, "job_id", "field_name").groupBy("job_id", "field_name").agg(F.array_sort(F.collect_list(F.struct("sid", "text", "n"))).alias("claims")))
-    rel, copied = discover(groups)
+    """(job_id, field_name, best_value, posterior, several) of every group; ``several`` says if it has two readings."""
+    groups = write_out(groups_of(readings))
+    patterns = write_out(spread(groups.groupBy("pattern").agg(F.count("*").alias("n")), "pattern"))
+    rel, copied = discover(patterns)
     weight = weights_of(rel, copied)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, list[float]] = {}
         for pdf in batches:
             out = []
-            for job, field, claims in zip(pdf["job_id"], pdf["field_name"], pdf["claims"]):
-                p = posteriors(field, claims, weight, copied)
-                best = min(p, key=lambda t: (-round(p[t], 9), t))
-                out.append((job, field, best, p[best], len(claims)))
-            yield pd.DataFrame(out, columns=["job_id", "field_name", "best_value", "posterior", "n_claims"])
-
-    return groups.mapInPandas(run, "job_id string, field_name string, best_value string, posterior double, n_claims int")
+            for job, field, several, texts, pattern in zip(*(pdf[c] for c in ("job_id", "field_name", "several", "texts", "pattern"))):
+                if not len(texts):
+                    out.append((job, field, None, None, several))
+                    continue
+                p = known.get(pattern)
+                if p is None:
+                    p = posteriors(read_pattern(pattern), weight, copied)
+                    if len(known) < CACHE:
+                        known[pattern] = p
+                best = min(range(len(texts)), key=lambda i: (-round(p[i], 9), texts[i]))
+                out.append((job, field, texts[best], p[best], several))
+            yield pd.DataFrame(out, columns=["job_id", "field_name", "best_value", "posterior", "several"])
+
+    return groups.mapInPandas(run, "job_id string, field_name string, best_value string, posterior double, several boolean")
 
 
 def best_values(readings: DataFrame) -> DataFrame:
     """(job_id, field_name, best_value) of every job and field with at least two different readings."""
-    several = readings.groupBy("job_id", "field_name").agg(F.min("reading_id").alias("lo"), F.max("reading_id").alias("hi")).where("lo < hi")
-    return several.select("job_id", "field_name").join(surviving_values(readings), ["job_id", "field_name"], "left").select("job_id", "field_name", "best_value")
+    return surviving_values(readings).where("several").select("job_id", "field_name", "best_value")
