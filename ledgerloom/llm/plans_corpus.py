@@ -62,5 +62,5 @@ def p9_tempered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(plan, mix_documents(sized, plan))
 
 
-QUERIES = {"p8_containers": p8_containers, "p8_each_kind": p8_each_kind, "p8_fill": p8_fill, "p9_mix": p9_mix, "p9_documents": p9_documents, "p9_tempered": p9_tempered}
+QUERIES = {"p8_containers": p8_containers, "p8_each_kind": p8_each_kind, "p8_fill": p8_fill, "p9_documents": p9_documents, "p9_mix": p9_mix, "p9_tempered": p9_tempered}
 SQL: dict[str, str] = {}
