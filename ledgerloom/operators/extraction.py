@@ -33,3 +33,28 @@ def best_labelled(candidates: DataFrame) -> DataFrame:
     w = Window.partitionBy("doc_id", "field")
     df = candidates.withColumn("n", F.count("*").over(w)).withColumn("_rn", F.row_number().over(w.orderBy("line_no", "value")))
     return df.where("_rn = 1").drop("_rn")
+
+
+def tag_tokens(tokens: DataFrame, values: DataFrame) -> DataFrame:
+    """BIO labels of tokens by known field values; ``values`` has doc_id, field, value and ord.
+
+    Fields are placed in their order and a token is taken once, so a document is worked off in one
+    piece (its tokens and fields are bounded by nature). The first free run of tokens that spells a
+    value is taken; values that are not found label nothing.
+    """
+    import pandas as pd
+
+    def run(key: tuple, t: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values("seq")
+        words = ["".join(c for c in str(x).lower() if c.isalnum()) for x in t["text"]]
+        labels = ["O"] * len(words)
+        for r in v.sort_values(["ord", "field"]).itertuples():
+            want = [w for w in ("".join(c for c in x.lower() if c.isalnum()) for x in str(r.value).split()) if w]
+            n = len(want)
+            for i in range(len(words) - n + 1):
+                if n and words[i : i + n] == want and all(x == "O" for x in labels[i : i + n]):
+                    labels[i : i + n] = [f"B-{r.field}"] + [f"I-{r.field}"] * (n - 1)
+                    break
+        return pd.DataFrame({"doc_id": t["doc_id"].tolist(), "seq": t["seq"].tolist(), "label": pd.Series(labels, dtype=object)})
+
+    return tokens.groupBy("doc_id").cogroup(values.groupBy("doc_id")).applyInPandas(run, "doc_id bigint, seq int, label string")

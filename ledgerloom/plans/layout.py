@@ -219,3 +219,17 @@ def template_match(spark: SparkSession, d: str) -> DataFrame:
 
     heavy = b.withColumn("weight", F.count("*").over(Window.partitionBy("key", "template_family_id")))
     return match_templates(b.select(F.col("run_id").alias("id"), "key", "anchor", "x", "y"), heavy.select(F.col("template_family_id").alias("id"), "key", "anchor", "x", "y", "weight"))
+
+
+@query()
+def token_tags(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of documents that belong to a job, tagged with that job's field values (checked on a fixture)."""
+    from ledgerloom.operators.extraction import tag_tokens
+    from ledgerloom.plans.jobs import jobs
+
+    docs = table(spark, d, "documents", ["doc_id", "job_id"]).where("job_id IS NOT NULL")
+    names = ["invoice_number", "invoice_date", "vendor_name", "buyer_name", "vendor_gstin"]
+    fields = jobs(spark, d, names).select("job_id", F.inline(F.array(*[F.struct(F.lit(n).alias("field"), F.col(n).alias("value"), F.lit(i).alias("ord")) for i, n in enumerate(names)])))
+    values = docs.join(fields.where("value <> ''"), "job_id").select("doc_id", "field", "value", "ord")
+    t = tokens(spark, d).join(docs, "doc_id", "left_semi").select("doc_id", "seq", "text")
+    return tag_tokens(t, values).where("label <> 'O'")

@@ -48,3 +48,12 @@ def test_spans_and_chunks(spark):
     assert got == [(0, 1, "A"), (3, 3, "A"), (4, 4, "B"), (5, 5, "A"), (6, 6, "A")]
     votes = layout.chunk_votes(df, 4, 2).collect()
     assert len(votes) == 7 and {r.seq: r.label for r in votes}[2] == "O"
+
+
+def test_tags_take_a_token_once(spark):
+    from ledgerloom.operators.extraction import tag_tokens
+
+    t = spark.createDataFrame([(1, i, w) for i, w in enumerate("Invoice A-17 dated 1 May A-17 Total".split())] + [(2, 0, "x")], "doc_id bigint, seq int, text string")
+    v = spark.createDataFrame([(1, "number", "a17", 0), (1, "order", "A-17", 1), (1, "date", "1 May", 2), (1, "none", "zzz", 3)], "doc_id bigint, field string, value string, ord int")
+    got = {(r.doc_id, r.seq): r.label for r in tag_tokens(t, v).collect()}
+    assert [got[(1, i)] for i in range(7)] == ["O", "B-number", "O", "B-date", "I-date", "B-order", "O"] and got[(2, 0)] == "O"
