@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -42,7 +43,7 @@ CACHE = 200_000
 #: Bands of stated confidence; a reading counts as sure from the first bound on.
 BANDS = (0.55, 0.7)
 
-TOLERANCE, MAX_ROUNDS, MAX_SOURCES = 1e-3, 25, 1_000
+TOLERANCE, MAX_ROUNDS, MAX_SOURCES = 2e-3, 25, 1_000
 
 #: Wrong values a source could give instead of the right one, if sources err independently.
 FALSE_VALUES = 10
@@ -103,6 +104,7 @@ def groups_of(readings: DataFrame) -> DataFrame:
     return g.select("job_id", "field_name", "several", "texts", pattern.alias("pattern"))
 
 
+@lru_cache(CACHE)
 def read_pattern(pattern: str) -> tuple[list[tuple[str, int, int]], list[bool], list[int]]:
     """([(source, text number, times)], plausible, number of the longer form) with numbers from 0, -1 for none."""
     claims, flags, ext = pattern.split(";")
