@@ -139,16 +139,18 @@ def line_item_sums(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""
 WITH l AS (SELECT job_id, line_no, description, coalesce(amount, 0) AS amount, coalesce(cgst_rate, 0) + coalesce(sgst_rate, 0) + coalesce(igst_rate, 0) AS rate FROM {_LINES}),
-x AS (SELECT l.*, j.discount, sum(amount) OVER (PARTITION BY l.job_id) AS gross FROM l JOIN (SELECT job_id, coalesce(CASE WHEN isnan(discount) THEN NULL ELSE discount END, 0) AS discount FROM {_JOBS}) j ON l.job_id = j.job_id)
-SELECT job_id, round(sum(amount), 2) AS gross, round(sum(CASE WHEN gross > 0 THEN discount * amount / gross ELSE 0 END), 2) AS discount, round(sum((amount - CASE WHEN gross > 0 THEN discount * amount / gross ELSE 0 END) * rate / 100), 2) AS tax FROM x GROUP BY job_id""")
+x AS (SELECT l.*, j.discount, CAST(sum(CAST(amount AS DECIMAL(18, 4))) OVER (PARTITION BY l.job_id) AS DOUBLE) AS gross FROM l JOIN (SELECT job_id, coalesce(CASE WHEN isnan(discount) THEN NULL ELSE discount END, 0) AS discount FROM {_JOBS}) j ON l.job_id = j.job_id)
+SELECT job_id, CAST(round(sum(CAST(amount AS DECIMAL(18, 4))), 2) AS DOUBLE) AS gross, CAST(round(sum(CAST(round(CASE WHEN gross > 0 THEN discount * amount / gross ELSE 0 END, 4) AS DECIMAL(18, 4))), 2) AS DOUBLE) AS discount, CAST(round(sum(CAST(round((amount - CASE WHEN gross > 0 THEN discount * amount / gross ELSE 0 END) * rate / 100, 4) AS DECIMAL(18, 4))), 2) AS DOUBLE) AS tax FROM x GROUP BY job_id""")
 def recalculate_totals(spark: SparkSession, d: str) -> DataFrame:
     """A discount on the whole invoice is apportioned to the lines by amount before tax is taken."""
     n = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     lines = table(spark, d, "line_items").distinct().select("job_id", n("amount").alias("amount"), (n("cgst_rate") + n("sgst_rate") + n("igst_rate")).alias("rate"))
     disc = jobs(spark, d, ["discount"]).select("job_id", F.coalesce(F.nanvl("discount", F.lit(None).cast("double")), F.lit(0.0)).alias("discount"))
-    x = lines.join(disc, "job_id").withColumn("gross", F.sum("amount").over(Window.partitionBy("job_id")))
+    exact = lambda c: F.round(c, 4).cast("decimal(18,4)")  # noqa: E731  sums do not depend on the order of rows
+    x = lines.join(disc, "job_id").withColumn("gross", F.sum(exact(F.col("amount"))).over(Window.partitionBy("job_id")).cast("double"))
     share = F.when(F.col("gross") > 0, F.col("discount") * F.col("amount") / F.col("gross")).otherwise(0.0)
-    return x.groupBy("job_id").agg(F.round(F.sum("amount"), 2).alias("gross"), F.round(F.sum(share), 2).alias("discount"), F.round(F.sum((F.col("amount") - share) * F.col("rate") / 100), 2).alias("tax"))
+    total = lambda c: F.round(F.sum(exact(c)), 2).cast("double")
+    return x.groupBy("job_id").agg(total(F.col("amount")).alias("gross"), total(share).alias("discount"), total((F.col("amount") - share) * F.col("rate") / 100).alias("tax"))
 
 
 _C = "SELECT job_id, field_name, reading_id, value, 0 AS ord, confidence, source FROM {} WHERE trim(value) <> ''"
