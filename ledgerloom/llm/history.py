@@ -5,21 +5,26 @@ and its total; a segment is stored with the string's length and its position. A
 ``EDITS`` edits of another leaves at least one of that string's ``EDITS + 1`` segments intact, so a new
 record probes the index with the few substrings that can be such a segment, and only what meets is
 verified. A segment of one field is always keyed together with another field (or a segment of it),
-so no key is shared by all records of one vendor however many they are:
+so no key is shared by all records of one vendor however many they are. Where a field is missing, the
+key says so, and meets only records with which the field is missing on a side:
 
-    T  total, with each segment of the number      (number written differently)
-    N  number, with each segment of the total      (total damaged)
-    G  total, with each segment of the tax number  (number missing or unreadable)
-    M  number, with each segment of the tax number (total missing)
-    D  number, with the day of the invoice     (tax number and total missing)
-    B  tax number, with a segment of the number and a segment of the total (both damaged)
+    T  total, with each segment of the number          S  total, with the last digits of the number
+    N  number, with each segment of the total, its digits in order and its neighbourhood (total damaged)
+    A  total, with the day of the invoice              (number different or missing)
+    D  day, with the number less one character         (total different or missing)
+    R  day, with the last digits of the number         (a part of the number dropped, total different or missing)
+    X  number, with the tax number                     (total missing, another day)
+    M  number, total missing and day missing           G  total, number missing and day missing
+    B  day, with what totals alike share               (number missing, total damaged)
+
+Together they reach every pair that ``same_invoice`` accepts (tested).
 
 ``build_segments`` makes the index of a batch, to be appended to the stored one (it is partitioned
 by batch and never rewritten); ``probe`` looks a batch up in it. ``verify`` then compares number, tax
 number, total, date and buyer, which numbers reused by a vendor and equal recurring totals need.
 
-Defined results: null, blank and unreadable fields make no segments; a record without two usable
-fields finds and is found by nothing; rows delivered twice are one job; a record is never paired with
+Defined results: null, blank and unreadable fields make no segments; a record without number and
+total finds and is found by nothing; rows delivered twice are one job; a record is never paired with
 itself; ties do not matter, every pair that verifies is returned; empty tables give empty results.
 """
 
@@ -27,7 +32,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from datetime import date, timedelta
+from datetime import date
+from functools import lru_cache
+from itertools import product
 
 import pandas as pd
 import xxhash
@@ -107,7 +114,7 @@ def segments(s: str) -> list[tuple[int, str]]:
 def probes(s: str) -> set[tuple[int, int, str]]:
     """(length, position, text) of all substrings that may equal a segment of a string within ``EDITS``."""
     n, m, out = len(s), EDITS + 1, set()
-    for size in range(max(m, n - EDITS), n + EDITS + 1):
+    for size in range(max(1, n - EDITS), n + EDITS + 1):
         at, shift = 0, n - size
         for i in range(m):
             k = size // m + (1 if i >= m - size % m else 0)
@@ -120,29 +127,38 @@ def probes(s: str) -> set[tuple[int, int, str]]:
     return out
 
 
-def _keys(number: str, serial: str, tax: str, total: str, day: str, index: bool) -> set[int]:
-    def seg(s: str) -> list[str]:
-        if len(s) <= EDITS:
-            return []
-        if index:
-            return [f"{len(s)}.{i}.{t}" for i, t in segments(s)]
-        return [f"{size}.{i}.{t}" for size, i, t in probes(s)]
+def _one_off(s: str) -> set[str]:
+    """A string and what is left of it without one character: strings one edit or swap apart share one of these."""
+    return {s} | {s[:i] + s[i + 1 :] for i in range(len(s))}
 
-    def fixed(s: str) -> list[str]:
-        return [f"{i}.{t}" for i, t in segments(s)] if len(s) > EDITS else []
 
+def _keys(number: str, serial: str, tax: str, total: str, day: str, index: bool) -> set[int]:
+    def seg(s: str) -> list[str]:
+        return [f"{len(s)}.{i}.{t}" for i, t in segments(s)] if index else [f"{size}.{i}.{t}" for size, i, t in probes(s)]
+
+    def missing(*fields: str) -> list[str]:
+        """Index: which of the fields this record lacks; probe: what the other must lack so that each is missing on a side."""
+        own = "".join("01"[not f] for f in fields)
+        return [own] if index else ["".join(m) for m in product(*("01" if x == "1" else "1" for x in own))]
+
+    on = date.fromisoformat(day).toordinal() if day else 0
+    days = [] if not day else [on] if index else [on - 1, on, on + 1]
+    # Totals that differ by one edit, by the order of digits, or by at most 100 in the last places.
+    step = int(total) // 101 if total else 0
+    alike = [*_one_off(total), "s" + "".join(sorted(total)), *(f"c{step + d}" for d in ((0,) if index else (-1, 0, 1)))] if total else []
     keys = []
     if total and number:
-        keys += [f"T|{total}|{s}" for s in seg(number)] + [f"N|{number}|{s}" for s in seg(total)]
-        keys.append(f"T|{total}|{serial}")
-    if total and tax:
-        keys += [f"G|{total}|{s}" for s in seg(tax)]
-    if number and tax:
-        keys += [f"M|{number}|{s}" for s in seg(tax)]
-    if number and tax and total:
-        keys += [f"B|{tax[:12]}|{a}|{b}" for a in fixed(number) for b in fixed(total)]
-    if number and day:
-        keys += [f"D|{number}|{day}"] if index else [f"D|{number}|{date.fromisoformat(day) + timedelta(d)}" for d in (-1, 0, 1)]
+        keys += [f"T|{total}|{s}" for s in seg(number)] + [f"N|{number}|{s}" for s in [*seg(total), *alike]]
+        keys += [f"S|{total}|{serial}"] if serial else []
+    if number:
+        keys += [f"M|{number}|{m}" for m in missing(total, day)]
+        keys += [f"X|{number}|{tax[:14]}|{m}" for m in missing(total)] if tax else []
+        keys += [f"D|{d}|{s}" for d in days for s in _one_off(number)]
+        keys += [f"R|{d}|{serial}" for d in days] if serial and tax else []
+    if total:
+        keys += [f"A|{total}|{d}" for d in days]
+        keys += [f"G|{total}|{m}" for m in missing(number, day)]
+        keys += [f"B|{d}|{t}|{m}" for d in days for t in alike for m in missing(number)] if tax else []
     return {xxhash.xxh64_intdigest(k) - (1 << 63) for k in keys}
 
 
@@ -201,12 +217,16 @@ def _field(a: str, b: str, edits: int) -> str:
     return "same" if a == b else "near" if distance(a, b, edits) <= edits else "other"
 
 
+#: Names of parties recur; a worker parses each once while it stays in a bounded cache.
+_parsed = lru_cache(50_000)(parse_name)
+
+
 def _party(a: str, b: str) -> str:
     if not a or not b:
         return "none"
     if a == b:
         return "same"
-    pa, pb = parse_name(a), parse_name(b)
+    pa, pb = _parsed(a), _parsed(b)
     if compatible(pa, pb):
         return "near"
     ca, cb = "".join(pa[1]), "".join(pb[1])
@@ -229,6 +249,9 @@ def same_invoice(a: dict, b: dict) -> bool:
     day = "none" if not a["day"] or not b["day"] else "same" if _days(a["day"], b["day"]) <= 1 else "other"
     if tax == "other" or number in ("other", "far") and not (total == "same" and day == "same" and number == "far"):
         return False
+    # What no clause below accepts whatever the parties are, before names are parsed.
+    if number != "same" and (day == "other" or total not in ("same", "near") and (number == "none" or total == "other")):
+        return False
     buyer = _party(a["buyer"], b["buyer"])
     vendor = _party(a["vendor"], b["vendor"]) if tax == "none" else "same"
     if vendor == "other":
