@@ -324,7 +324,7 @@ def _linkage_rounds(links: DataFrame, least: float) -> DataFrame:
     """Average linkage in distributed rounds: pairs that are each other's best neighbour merge.
 
     Group average is a reducible linkage, so merging mutual best neighbours at once gives the same
-    clusters as merging one pair at a time.
+    clusters as merging one pair at a time. Equal means go to the pair of smaller ids, as in ``average_linkage``.
     """
     member = links.select(F.col("a").alias("id")).union(links.select("b")).distinct().select("id", F.col("id").alias("cluster"))
     member, now = cut(member), cut(links.select("a", "b", F.col("sim").alias("total")))
@@ -332,7 +332,8 @@ def _linkage_rounds(links: DataFrame, least: float) -> DataFrame:
         size = member.groupBy("cluster").agg(F.count("*").alias("n"))
         sided = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b"), "total"))
         sided = sided.join(size.select(F.col("cluster").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("cluster").alias("b"), F.col("n").alias("nb")), "b")
-        best = sided.groupBy("a").agg(F.max_by("b", F.struct(F.col("total") / (F.col("na") * F.col("nb")), F.col("b"))).alias("b"), F.max(F.col("total") / (F.col("na") * F.col("nb"))).alias("mean"))
+        mean = F.col("total") / (F.col("na") * F.col("nb"))
+        best = sided.groupBy("a").agg(F.min_by("b", F.struct(-mean, F.least("a", "b"), F.greatest("a", "b"))).alias("b"), F.max(mean).alias("mean"))
         best = best.where(F.col("mean") >= least)
         back = best.select(F.col("b").alias("a"), F.col("a").alias("b"))
         merge = cut(best.join(back, ["a", "b"], "left_semi").where("a < b").select(F.col("b").alias("cluster"), F.col("a").alias("into")))
