@@ -6,7 +6,9 @@
    never reach the join.
 2. The distinctive parts of the classes become character 4-gram vectors with tf-idf weights, and a
    distributed sparse product finds all pairs with a cosine of at least ``MIN_COSINE`` (the top n of
-   every string, with n left open: no posting and no list of partners is capped).
+   every string, with n left open: no posting and no list of partners is capped). The grams of a slip
+   weigh more the larger the table is, so pairs within the edit bounds of step 3 are also found by
+   what is left of them without one or two characters, whatever their cosine; they count as ``MIN_COSINE``.
 3. Pairs are verified structurally (``compatible``): the distinctive part may differ by typing slips,
    trade words by abbreviation, initials or truncation; given names may be initials or short forms.
    Sister firms (same owner name, other trade) and relatives (same surname, other given name) fail.
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.components import connected_components
-from ledgerloom.llm.text import grams, near, plain
+from ledgerloom.llm.text import edit_keys, grams, near, plain
 from ledgerloom.session import cut, spread
 
 #: Least cosine of the n-gram vectors of two classes, and least average similarity within a party.
@@ -287,6 +289,19 @@ def cosine_pairs(vectors: DataFrame, min_cosine: float) -> DataFrame:
     return met.where(F.col("cosine") >= min_cosine)
 
 
+def edit_pairs(forms: DataFrame, two_from: int) -> DataFrame:
+    """All pairs (a, b) with a < b of rows (id bigint, form string) whose forms may be ``near``, and some that are not."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), 500):
+                some = pdf.iloc[at : at + 500]
+                yield pd.DataFrame([(k, i) for i, f in zip(some["id"], some["form"]) for k in edit_keys(f, two_from)], columns=["key", "id"])
+
+    keys = cut(spread(forms.where(F.length("form") >= 4), "form").mapInPandas(run, "key bigint, id bigint"))
+    return keys.withColumnRenamed("id", "a").join(keys.withColumnRenamed("id", "b"), "key").where("a < b").select("a", "b").distinct()
+
+
 def average_linkage(links: list[tuple[str, str, float]], least: float) -> dict[str, str]:
     """Clusters of the ids in ``links`` by average linkage; unlinked pairs count 0. Named by the least id."""
     size: dict[str, int] = {}
@@ -372,7 +387,10 @@ def name_parties(names: DataFrame) -> DataFrame:
             yield pd.DataFrame({"id": pdf["sid"], "grams": [grams([x], GRAM) if x else [] for x in pdf["stem"]]})
 
     vectors = cut(classes.select("sid", "stem").distinct().mapInPandas(to_grams, "id bigint, grams array<string>"))
-    pairs = cosine_pairs(vectors, MIN_COSINE)
+    joined, in_order = F.concat_ws("", "core"), F.concat_ws("", F.array_sort("core"))
+    forms = classes.select("sid", F.explode(F.when(F.col("kind") == "firm", F.array(joined, in_order)).otherwise(F.array("stem"))).alias("form")).distinct()
+    slips = edit_pairs(forms.withColumnRenamed("sid", "id"), 8).withColumn("cosine", F.lit(MIN_COSINE))
+    pairs = cut(cosine_pairs(vectors, MIN_COSINE).union(slips).groupBy("a", "b").agg(F.max("cosine").alias("cosine")))
     # Stems meet in both directions, and every stem meets itself: sister firms and relatives share one.
     stems = pairs.union(pairs.select("b", "a", "cosine")).union(vectors.select("id", "id", F.lit(1.0)))
     parts = classes.select("class_key", "sid", F.struct("kind", "core", "trade", "initials", "legal").alias("p"))

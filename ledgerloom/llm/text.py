@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import xxhash
+
 #: Characters that scanners confuse, brought to one letter, and respelled sounds.
 LOOKALIKES = str.maketrans({"0": "o", "1": "l", "5": "s", "8": "b", "9": "g", "6": "g", "2": "z", "!": "l", "|": "l"})
 SOUNDS = (("rn", "m"), ("ee", "i"), ("oo", "u"), ("w", "v"), ("y", "i"), ("vv", "v"))
@@ -68,3 +70,30 @@ def grams(tokens: list[str], n: int = 3) -> list[str]:
         for i in range(max(1, len(t) - n + 1)):
             out[t[i : i + n]] = None
     return list(out)
+
+
+#: Longer strings are keyed by segments: what is left without two characters grows with the square of the length.
+LONG = 40
+
+
+def _edit_keys(s: str, edits: int) -> set[str]:
+    out: set[str] = set()
+    if len(s) <= LONG + 2:
+        out, last = {s}, {s}
+        for _ in range(edits):
+            last = {t[:i] + t[i + 1 :] for t in last for i in range(len(t))}
+            out |= last
+    if len(s) > LONG:
+        # Two edits or swaps touch at most four of five segments, and move the fifth by at most two places.
+        for n in range(len(s) - 2, len(s) + 3):
+            for i in range(5):
+                lo, hi = i * n // 5, (i + 1) * n // 5
+                out |= {f"{n}.{i}.{s[lo + d : hi + d]}" for d in range(-2, 3) if lo + d >= 0}
+    return out
+
+
+def edit_keys(s: str, two_from: int) -> set[int]:
+    """Strings that ``near`` accepts share a key: within one edit, or two if both have at least ``two_from`` letters."""
+    edits = 2 if len(s) >= two_from else 1
+    keys = _edit_keys(s, edits) | {f"~{k}" for k in _edit_keys(sounds_like(s), edits)}
+    return {xxhash.xxh64_intdigest(k) - (1 << 63) for k in keys}
