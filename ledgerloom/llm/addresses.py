@@ -2,12 +2,14 @@
 
 Every distinct string is parsed into house number, street, kind of street, locality, town and postal
 code; abbreviations are written out and parts may stand in any order or be missing. Strings with the
-same parse form one class. Classes become weighted character n-gram vectors of their place names; a
+same parse form one class. Classes become weighted character n-gram vectors of their street's name; a
 prefix-filtered inverted index, keyed by house number and gram, gives the candidates (a location has
-one number, so different numbers can never meet and no posting grows with the corpus alone), and
-candidates are verified by cosine and by the parts: streets alike up to slips, no contradiction in
+one number, so different numbers can never meet and no posting grows with the corpus alone). Streets
+within the edit bounds also meet by what is left of them without one or two characters, since the
+grams of a slip weigh more the larger the table is. Candidates are verified by the parts: streets alike up to slips, no contradiction in
 kind of street, town, postal code or locality, and at least one of the last three in common unless
-one side names none of them. Verified links are split by average linkage, as for names.
+one side names none of them. Verified links are split by average linkage over the cosine of the whole
+vectors, as for names; a verified link counts as ``MIN_COSINE`` at least.
 
 Defined results: null, blank and number-less strings denote no location and give no row; "7" and "7A"
 differ; repeated rows change nothing; ties in clustering go to the smaller ids; empty tables give empty results.
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.names import cluster_links
-from ledgerloom.llm.text import distance, grams, near, plain
+from ledgerloom.llm.text import distance, edit_keys, grams, near, plain
 from ledgerloom.session import cut, spread
 
 MIN_COSINE, MIN_LINKAGE, GRAM = 0.20, 0.15, 4
@@ -182,17 +184,32 @@ def location_parties(addresses: DataFrame) -> DataFrame:
 
     index = cut(norms.mapInPandas(post_prefix, "id string, number string, g string, u double"))
     a, b = index.select(F.col("id").alias("a"), "number", "g", F.col("u").alias("ua")), index.select(F.col("id").alias("b"), "number", "g", F.col("u").alias("ub"))
-    # Posted grams hold all but MIN_COSINE of each norm: what they add up to is the cosine up to that rest.
-    met = a.join(b, ["number", "g"]).where(F.col("a") < F.col("b")).groupBy("a", "b").agg(F.sum(F.col("ua") * F.col("ub")).alias("sim"))
+    met = a.join(b, ["number", "g"]).where(F.col("a") < F.col("b")).select("a", "b")
+
+    def to_edits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), 500):
+                some = pdf.iloc[at : at + 500]
+                yield pd.DataFrame([(num, st, k) for num, st in zip(some["number"], some["street"]) for k in edit_keys(st, 7)], columns=["number", "street", "key"])
+
+    streets = spread(classes.where(F.length("street") >= 4).select("number", "street").distinct(), "number", "street")
+    keys = cut(streets.mapInPandas(to_edits, "number string, street string, key bigint"))
+    slips = keys.join(keys.withColumnRenamed("street", "other"), ["number", "key"]).where(F.col("street") != F.col("other")).select("number", "street", "other").distinct()
+    ids = classes.select("number", "street", F.col("class_key").alias("a"))
+    met = met.union(slips.join(ids, ["number", "street"]).join(ids.toDF("number", "other", "b"), ["number", "other"]).where(F.col("a") < F.col("b")).select("a", "b")).distinct()
     p = F.struct(*parts)
     both = met.join(classes.select(F.col("class_key").alias("a"), p.alias("pa")), "a").join(classes.select(F.col("class_key").alias("b"), p.alias("pb")), "b")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             keep = [same_location(tuple(x[c] for c in parts), tuple(y[c] for c in parts)) for x, y in zip(pdf["pa"], pdf["pb"])]
-            yield pdf.loc[keep, ["a", "b", "sim"]]
+            yield pdf.loc[keep, ["a", "b"]]
 
-    links = spread(both, "a").mapInPandas(verify, "a string, b string, sim double")
+    links = spread(both, "a").mapInPandas(verify, "a string, b string")
+    vector = norms.select("id", F.map_from_entries(F.transform("v", lambda e: F.struct(e["g"], e["w"] / F.sqrt("norm2")))).alias("u"))
+    links = links.join(vector.toDF("a", "ua"), "a").join(vector.toDF("b", "ub"), "b")
+    dot = F.aggregate(F.map_keys("ua"), F.lit(0.0), lambda t, g: t + F.col("ua")[g] * F.coalesce(F.col("ub")[g], F.lit(0.0)))
+    links = links.select("a", "b", F.greatest(dot, F.lit(MIN_COSINE)).alias("sim"))
     clusters = cluster_links(links, MIN_LINKAGE)
     out = usable.select("address", "class_key").join(clusters.withColumnRenamed("id", "class_key"), "class_key", "left")
     return out.select("address", "class_key", F.coalesce("cluster", "class_key").alias("location"))
