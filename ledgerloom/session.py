@@ -44,13 +44,33 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bytes of input for each task of a Python stage, beyond the number that the session shuffles into.
+SPREAD_BYTES = 256 << 20
+
+
+def _input_bytes(df: DataFrame) -> int:
+    """Bytes of the tables and checkpoints below a plan, by Catalyst's statistics; unknown sizes count 0."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    total, known = 0, 1 << 60
+    for i in range(leaves.size()):
+        n = int(leaves.apply(i).stats().sizeInBytes().toString())
+        total += n if n < known else 0
+    return total
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition by ``keys`` into as many tasks as the session shuffles into.
+    """Hash-partition by ``keys`` into as many tasks as the session shuffles into, or more if the input is large.
 
     For Python stages: their cost follows the rows, not the bytes by which adaptive execution merges
     small partitions, and it leaves a partitioning that names its number as it is.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), _input_bytes(df) // SPREAD_BYTES), *keys)
+
+
+def widen(scan: DataFrame) -> DataFrame:
+    """A scan for a map-only Python stage: moved to more tasks only if its files make fewer than there are cores."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan._jdf.queryExecution().toRdd().getNumPartitions() >= cores else scan.repartition(cores)
 
 
 def write_out(df: DataFrame) -> DataFrame:
