@@ -10,12 +10,14 @@
 3. Every sentence of every document, whole texts, is scored under all models. The differences in
    surprisal give the sentence's level distribution; the document's is their mean by length.
 4. Isotonic regression (pool adjacent violators) maps the document's expected level to the raters'
-   scale without ever turning a more demanding document into a plainer one.
+   scale without ever turning a more demanding document into a plainer one. It is fitted on scores
+   that models trained on the other half of the rated documents gave.
 
-The models are a few tables of n-gram weights, bounded by ``MAX_NGRAMS`` and sent to the workers; scoring
-is map-only. Defined results: null, blank and unrated-form texts give no row; unknown words are equally
+The models are a few arrays of n-gram weights that go to the workers; scoring is map-only, runs over the
+tokens of many sentences at once, and moves no text. Defined results: null, blank and unrated-form texts give no row; unknown words are equally
 surprising to all models and decide nothing; several ratings of one document count as their median;
-without any rated document there is no result; ties between levels go to the plainer one.
+without any rated document there is no result; ties between levels go to the plainer one; repeated
+document ids are separate documents.
 """
 
 from __future__ import annotations
@@ -24,14 +26,15 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.session import spread
+from ledgerloom.session import widen
 
-#: Bound of the training sample, in rated documents, and of the n-grams kept per order (the most frequent ones).
-MAX_RATED, MAX_NGRAMS = 1_500, 400_000
+#: Bound of the training sample, in rated documents.
+MAX_RATED = 1_500
 
 #: Shares of trigram, bigram, unigram and uniform model; rounds of expectation-maximisation.
 LAMBDA, EM_ROUNDS = (0.45, 0.33, 0.20, 0.02), 4
@@ -43,7 +46,10 @@ SPREAD = (1.0, 0.35, 0.12, 0.04, 0.02)
 MIN_WORDS, MIN_SHARE = 4, 0.25
 
 #: Sentences whose distribution a worker remembers: forms and phrases recur.
-CACHE = 100_000
+CACHE = 200_000
+
+#: Documents that a worker scores at once.
+DOCUMENTS = 1_000
 
 _HEADER = re.compile(
     r"^\s*(?:tax invoice|invoice|proforma.*|statement of account|delivery (?:note|challan)|credit note|debit note|purchase order|packing list|receipt|rechnung|facture|lieferschein"
@@ -53,161 +59,170 @@ _HEADER = re.compile(
 )
 _ITEM = re.compile(r"^\s*(?:[-*•]\s*)?(?:\d+[.)]?\s+|\|).*\d|^\s*\S.*\|.*\d|^\s*.{3,60}?\s+\d+(?:[.,]\d+)?\s+\d+[.,]\d{2}\s+\d+[.,]\d{2}\s*$")
 _NUMBERS = re.compile(r"\d+(?:[.,]\d{2})\b")
+_WORDS = re.compile(r"[^\W\d_]{2,}")
+_ENDED = re.compile(r"[.!?]\s*$")
+_BOUNDARY = re.compile(r"(?<=[.!?])\s+|(?<=[a-zäöüéèàß]:)\s+")
+_TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\d[\d.,]*")
 
 
 def _listing(line: str) -> bool:
     if _HEADER.match(line):
         return True
-    words = re.findall(r"[^\W\d_]{2,}", line)
-    return bool(_ITEM.match(line)) and len(_NUMBERS.findall(line)) >= 2 and len(words) <= 12 and not re.search(r"[.!?]\s*$", line.strip() if not line.strip()[-1:].isdigit() else "")
+    if len(_NUMBERS.findall(line)) < 2 or not _ITEM.match(line) or len(_WORDS.findall(line)) > 12:
+        return False
+    return not _ENDED.search(line.strip() if not line.strip()[-1:].isdigit() else "")
 
 
-def sentences(text: object) -> tuple[list[list[str]], int, int]:
-    """(tokens of every running sentence, words in sentences, words in listings)."""
+def split(text: object) -> tuple[list[str], int]:
+    """(running sentences as written, words in listings)."""
     if not isinstance(text, str):
-        return [], 0, 0
+        return [], 0
     keep, listed = [], 0
     for line in text.splitlines():
-        if line.strip() and _listing(line):
+        if line and not line.isspace() and _listing(line):
             listed += len(line.split())
             keep.append("\n")
         else:
             keep.append(line + " ")
-    out = []
-    for block in "".join(keep).split("\n"):
-        for s in re.split(r"(?<=[.!?])\s+|(?<=[a-zäöüéèàß]:)\s+", block):
-            t = re.findall(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\d[\d.,]*", s.lower())
-            t = ["#" if x[0].isdigit() else x for x in t]
-            if t:
-                out.append(t)
+    return [s for block in "".join(keep).split("\n") for s in _BOUNDARY.split(block)], listed
+
+
+def tokens(sentence: str) -> list[str]:
+    return ["#" if x[0].isdigit() else x for x in _TOKEN.findall(sentence.lower())]
+
+
+def sentences(text: object) -> tuple[list[list[str]], int, int]:
+    """(tokens of every running sentence, words in sentences, words in listings)."""
+    raw, listed = split(text)
+    out = [t for t in map(tokens, raw) if t]
     return out, sum(map(len, out)), listed
 
 
 def is_running(text: object) -> bool:
-    return _is_running(*sentences(text))
+    sents, words, listed = sentences(text)
+    return _running(words, listed, any(len(t) >= 3 for t in sents))
 
 
-def _grams(tokens: list[str]) -> Iterator[tuple[str, str, str]]:
-    t = ["<s>", "<s>", *tokens]
-    for i in range(2, len(t)):
-        yield t[i - 2], t[i - 1], t[i]
+def _running(words: int, listed: int, any_sentence: bool) -> bool:
+    # Words in forms like "n/a" are no sentence; a text without any sentence of three words is none.
+    return any_sentence and words >= MIN_WORDS and words >= MIN_SHARE * (words + listed)
 
 
-class LevelModels:
-    """Interpolated trigram models of all levels over one vocabulary."""
-
-    def __init__(self, levels: list[int]):
-        self.levels = levels
-        self.counts: list[dict[tuple, list[float]]] = [{}, {}, {}]
-        self.context: list[dict[tuple, list[float]]] = [{}, {}, {}]
-
-    def add(self, tokens: list[str], weight: list[float]) -> None:
-        for u, v, w in _grams(tokens):
-            for order, (ctx, gram) in enumerate((((), (w,)), ((v,), (v, w)), ((u, v), (u, v, w)))):
-                c = self.counts[order].setdefault(gram, [0.0] * len(self.levels))
-                x = self.context[order].setdefault(ctx, [0.0] * len(self.levels))
-                for k, p in enumerate(weight):
-                    c[k] += p
-                    x[k] += p
-
-    def bound(self) -> LevelModels:
-        for order in range(3):
-            if len(self.counts[order]) > MAX_NGRAMS:
-                top = sorted(self.counts[order].items(), key=lambda e: (-sum(e[1]), e[0]))[:MAX_NGRAMS]
-                self.counts[order] = dict(top)
-        return self
+class Grams:
+    """The tokens of many sentences as numbers: 0 is a word that no model knows, 1 the start of a sentence."""
 
-    def freeze(self) -> LevelModels:
-        """Turns counts into the probabilities that an n-gram adds under each level."""
-        n, v0, none = len(self.levels), len(self.counts[0]) + 1, [0.0] * len(self.levels)
-        x1 = self.context[0].get((), none)
-        self.p1 = {g[0]: [LAMBDA[3] / v0 + LAMBDA[2] * c[k] / max(x1[k], 1e-9) for k in range(n)] for g, c in self.counts[0].items()}
-        self.p2 = {g: [LAMBDA[1] * c[k] / (self.context[1][g[:1]][k] + 0.5) for k in range(n)] for g, c in self.counts[1].items()}
-        self.p3 = {g: [LAMBDA[0] * c[k] / (self.context[2][g[:2]][k] + 0.5) for k in range(n)] for g, c in self.counts[2].items()}
-        self.counts, self.context = [{}, {}, {}], [{}, {}, {}]
-        return self
+    def __init__(self, sents: list[list[str]], vocabulary: dict[str, int]):
+        n = np.array([len(t) for t in sents], dtype=np.int64)
+        get = vocabulary.get
+        self.sent = np.repeat(np.arange(len(sents)), n)
+        self.w = np.fromiter((get(x, 0) for t in sents for x in t), np.int64, int(n.sum()))
+        start = np.zeros(len(self.w), np.int64)
+        first = np.cumsum(n) - n
+        start[first[n > 0]] = 1
+        self.v, self.u = np.ones_like(self.w), np.ones_like(self.w)
+        self.v[1:] = np.where(start[1:] == 1, 1, self.w[:-1])
+        self.u[2:] = np.where((start[2:] == 1) | (start[1:-1] == 1), 1, self.w[:-2])
+        self.n = n
 
-    def surprisal(self, tokens: list[str]) -> list[float]:
-        """Total surprisal (nats) of a sentence under every level's model."""
-        n = len(self.levels)
-        out, zero, one = [0.0] * n, [0.0] * n, [1.0] * n
-        p1, p2, p3, log = self.p1, self.p2, self.p3, math.log
-        likely, held = one, 0
-        u = v = "<s>"
-        for w in tokens:
-            a = p1.get(w)
-            if a is not None:  # a word unknown to all models says nothing
-                b = p2.get((v, w))
-                if b is None:
-                    likely = [q * x for q, x in zip(likely, a)]
-                else:
-                    c = p3.get((u, v, w), zero)
-                    likely = [q * (x + y + z) for q, x, y, z in zip(likely, a, b, c)]
-                held += 1
-                if held == 24:  # before the products run out of range
-                    out = [o - log(q) for o, q in zip(out, likely)]
-                    likely, held = one, 0
-            u, v = v, w
-        return [o - log(q) for o, q in zip(out, likely)]
-
-    def posterior(self, tokens: list[str], prior: list[float] | None = None) -> list[float]:
-        s = self.surprisal(tokens)
-        low = min(s)
-        e = [math.exp(low - x) * (prior[k] if prior else 1.0) for k, x in enumerate(s)]
-        z = sum(e)
-        return [x / z for x in e]
-
-
-def _is_running(sents: list[list[str]], words: int, listed: int) -> bool:
-    # Words in forms like "n/a" are no sentence; a text without any sentence of three words is none.
-    return words >= MIN_WORDS and words >= MIN_SHARE * (words + listed) and any(len(t) >= 3 for t in sents)
 
+class LevelModels:
+    """Interpolated trigram models of all levels over one vocabulary; n-grams are sorted numbers, their weights rows."""
+
+    def __init__(self, levels: list[int], vocabulary: dict[str, int]):
+        self.levels, self.vocabulary, self.size = levels, vocabulary, len(vocabulary) + 2
+        if self.size >= 1 << 21:
+            raise ValueError("vocabulary of the training sample is too large for three words in one number")
+
+    def _keys(self, g: Grams) -> tuple[np.ndarray, np.ndarray]:
+        return g.v * self.size + g.w, (g.u * self.size + g.v) * self.size + g.w
+
+    def fit(self, g: Grams, weight: np.ndarray) -> LevelModels:
+        """From the share of every level in each sentence (sentences x levels)."""
+        levels = range(len(self.levels))
+        w = weight[g.sent]
+        total = lambda at, n: np.stack([np.bincount(at, w[:, k], minlength=n) for k in levels], axis=1)
+        two, three = self._keys(g)
+        c1 = total(g.w, self.size)
+        floor = LAMBDA[3] / (len(self.vocabulary) + 1)
+        self.p1 = np.where(c1.sum(axis=1, keepdims=True) > 0, floor + LAMBDA[2] * c1 / np.maximum(c1.sum(axis=0), 1e-9), floor)
+        self.k2, at2 = np.unique(two, return_inverse=True)
+        self.k3, at3 = np.unique(three, return_inverse=True)
+        before = total(g.v, self.size)
+        pair, at_pair = np.unique(three // self.size, return_inverse=True)
+        context = total(at_pair, len(pair))
+        # A last row of zeros for n-grams that were not seen.
+        none = np.zeros((1, len(self.levels)))
+        self.p2 = np.vstack([LAMBDA[1] * total(at2, len(self.k2)) / (before[self.k2 // self.size] + 0.5), none])
+        self.p3 = np.vstack([LAMBDA[0] * total(at3, len(self.k3)) / (context[np.searchsorted(pair, self.k3 // self.size)] + 0.5), none])
+        return self
 
-def document_levels(models: LevelModels, text: object, known: dict | None = None) -> list[float] | None:
-    """Mean level distribution of a document's sentences by length, None for a text that is not running."""
-    sents, words, listed = sentences(text)
-    if not _is_running(sents, words, listed):
-        return None
-    total, mix = 0.0, [0.0] * len(models.levels)
-    for t in sents:
-        if len(t) < 3:
-            continue
-        key = tuple(t)
-        p = known.get(key) if known is not None else None
-        if p is None:
-            p = models.posterior(t)
-            if known is not None and len(known) < CACHE:
-                known[key] = p
-        total += len(t)
-        mix = [m + len(t) * x for m, x in zip(mix, p)]
-    return [m / total for m in mix] if total else [1.0 / len(mix)] * len(mix)
-
-
-def train(rated: list[tuple[str, int]]) -> LevelModels:
+    def surprisal(self, g: Grams) -> np.ndarray:
+        """Total surprisal (nats) of every sentence under every level's model."""
+        out = np.zeros((len(g.n), len(self.levels)))
+        if len(g.w):
+            likely = self.p1[g.w].copy()
+            for keys, known, p in zip(self._keys(g), (self.k2, self.k3), (self.p2, self.p3)):
+                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                likely += p[np.where((known[at] == keys) & (g.w > 0), at, len(known))]
+            filled = g.n > 0
+            out[filled] = np.add.reduceat(-np.log(likely), (np.cumsum(g.n) - g.n)[filled])
+        return out
+
+    def posterior(self, sents: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """(level distribution, surprisal) of every sentence."""
+        s = self.surprisal(Grams(sents, self.vocabulary))
+        e = np.exp(s.min(axis=1, keepdims=True) - s)
+        return e / e.sum(axis=1, keepdims=True), s
+
+
+def document_levels(models: LevelModels, texts: list, known: dict | None = None) -> list[tuple[list[float], list[float]] | None]:
+    """(mean level distribution of the sentences by length, mean surprisal of a token) of every document, None for a text that is not running.
+
+    ``known`` remembers sentences by how they are written: (words, distribution, surprisal).
+    """
+    known = {} if known is None else known
+    parts = [split(t) for t in texts]
+    fresh = list(dict.fromkeys(s for raw, _ in parts for s in raw if s not in known))
+    cut = [tokens(s) for s in fresh]
+    p, x = models.posterior(cut)
+    here = {s: (len(t), a, b) for s, t, a, b in zip(fresh, cut, p, x)}
+    n_docs, levels = len(texts), len(models.levels)
+    seen = [here.get(s) or known[s] for raw, _ in parts for s in raw]
+    doc = np.repeat(np.arange(n_docs), [len(raw) for raw, _ in parts])
+    n = np.array([a for a, _, _ in seen], dtype=float)
+    long = n >= 3
+    words = np.bincount(doc, n, minlength=n_docs)
+    total = np.bincount(doc, n * long, minlength=n_docs)
+    mix, nats = np.zeros((n_docs, levels)), np.zeros((n_docs, levels))
+    if len(seen):
+        dist, cost = np.stack([b for _, b, _ in seen]), np.stack([c for _, _, c in seen])
+        for k in range(levels):
+            mix[:, k] = np.bincount(doc, dist[:, k] * n * long, minlength=n_docs)
+            nats[:, k] = np.bincount(doc, cost[:, k] * long, minlength=n_docs)
+    if len(known) < CACHE:
+        known.update(here)
+    return [((mix[i] / total[i]).tolist(), (nats[i] / total[i]).tolist()) if _running(words[i], parts[i][1], total[i] > 0) else None for i in range(n_docs)]
+
+
+def train(rated: list[tuple[str, int]], levels: list[int] | None = None) -> LevelModels:
     """Models of the levels from (text, rating) of rated documents."""
-    levels = sorted({r for _, r in rated})
-    docs = [([t for t in sentences(text)[0] if len(t) >= 3], r) for text, r in rated]
-    models: LevelModels | None = None
-    for _ in range(EM_ROUNDS):
-        new = LevelModels(levels)
-        seen: dict[tuple, list[float]] = {}
-        for sents, r in docs:
-            prior = [SPREAD[min(abs(k - r), len(SPREAD) - 1)] for k in levels]
-            z = sum(prior)
-            for t in sents:
-                if models is None:
-                    w = [p / z for p in prior]
-                else:
-                    key = tuple(t)
-                    if key not in seen:
-                        s = models.surprisal(t)
-                        low = min(s)
-                        seen[key] = [math.exp((low - x) / max(1.0, len(t) / 12)) for x in s]
-                    w = [a * b for a, b in zip(seen[key], prior)]
-                    zz = sum(w)
-                    w = [x / zz for x in w]
-                new.add(t, w)
-        models = new.bound().freeze()
+    levels = levels or sorted({r for _, r in rated})
+    sents, ratings = [], []
+    for text, r in rated:
+        own = [t for t in sentences(text)[0] if len(t) >= 3]
+        sents += own
+        ratings += [r] * len(own)
+    vocabulary = {w: i for i, w in enumerate(sorted({w for t in sents for w in t}), 2)}
+    g = Grams(sents, vocabulary)
+    prior = np.array([[SPREAD[min(abs(k - r), len(SPREAD) - 1)] for k in levels] for r in ratings]).reshape(len(sents), len(levels))
+    weight = prior / prior.sum(axis=1, keepdims=True)
+    models = LevelModels(levels, vocabulary)
+    for turn in range(EM_ROUNDS):
+        if turn:
+            s = models.surprisal(g)
+            weight = np.exp((s.min(axis=1, keepdims=True) - s) / np.maximum(1.0, g.n / 12)[:, None]) * prior
+            weight /= weight.sum(axis=1, keepdims=True)
+        models.fit(g, weight)
     return models
 
 
@@ -247,32 +262,45 @@ def rated_sample(documents: DataFrame, labels: DataFrame) -> list[tuple[str, int
     return [(r.text, r.rating) for r in rows if is_running(r.text)]
 
 
+def held_out_scores(rated: list[tuple[str, int]], levels: list[int]) -> list[tuple[float, float]]:
+    """(expected level, rating) of every rated document by models that were trained on the other half of them."""
+    out = []
+    for part in (0, 1):
+        mine, others = rated[part::2], rated[1 - part :: 2]
+        if mine and others:
+            models = train(others, levels)
+            out += [(expected(levels, m[0]), float(r)) for m, (_, r) in zip(document_levels(models, [t for t, _ in mine]), mine) if m]
+    return out
+
+
 def reading_levels(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, reading_level, score, surprisal) of every document that is mainly running text.
+    """(doc_id, reading_level, score, distribution, surprisal) of every document that is mainly running text.
 
-    ``score`` is the expected level before the isotonic map, ``surprisal`` the level distribution it comes from.
+    ``score`` is the expected level before the isotonic map, ``distribution`` the level distribution it comes from,
+    ``surprisal`` the mean surprisal of a token under the model of each level.
     """
     spark = documents.sparkSession
-    schema = f"doc_id {dict(documents.dtypes)['doc_id']}, reading_level int, score double, surprisal array<double>"
+    schema = f"doc_id {dict(documents.dtypes)['doc_id']}, reading_level int, score double, distribution array<double>, surprisal array<double>"
     rated = rated_sample(documents, labels)
     if not rated:
         return spark.createDataFrame([], schema)
     models = train(rated)
-    mixes = [document_levels(models, text) for text, _ in rated]
-    curve = isotonic([expected(models.levels, m) for m in mixes], [float(r) for _, r in rated])
+    scores = held_out_scores(rated, models.levels) or [(float(r), float(r)) for _, r in rated]
+    curve = isotonic([x for x, _ in scores], [y for _, y in scores])
     sent = spark.sparkContext.broadcast((models, curve))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         models, curve = sent.value
         known: dict = {}
         for pdf in batches:
-            out = []
-            for i, text in zip(pdf["doc_id"], pdf["text"]):
-                mix = document_levels(models, text, known)
-                if mix is not None:
-                    x = expected(models.levels, mix)
-                    level = math.ceil(apply_isotonic(curve, x) - 0.5)
-                    out.append((i, min(max(level, models.levels[0]), models.levels[-1]), x, mix))
-            yield pd.DataFrame(out, columns=["doc_id", "reading_level", "score", "surprisal"])
-
-    return spread(documents.select("doc_id", "text"), "doc_id").mapInPandas(run, schema)
+            for at in range(0, len(pdf), DOCUMENTS):
+                some = pdf.iloc[at : at + DOCUMENTS]
+                out = []
+                for i, got in zip(some["doc_id"], document_levels(models, list(some["text"]), known)):
+                    if got is not None:
+                        x = expected(models.levels, got[0])
+                        level = math.ceil(apply_isotonic(curve, x) - 0.5)
+                        out.append((i, min(max(level, models.levels[0]), models.levels[-1]), x, *got))
+                yield pd.DataFrame(out, columns=["doc_id", "reading_level", "score", "distribution", "surprisal"])
+
+    return widen(documents.select("doc_id", "text")).mapInPandas(run, schema)
