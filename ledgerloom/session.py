@@ -53,7 +53,7 @@ def _input_bytes(df: DataFrame) -> int:
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     total, known = 0, 1 << 60
     for i in range(leaves.size()):
-        n = int(leaves.apply(i).stats().sizeInBytes().toString())
+        n = int(str(leaves.apply(i).stats().sizeInBytes()))
         total += n if n < known else 0
     return total
 
