@@ -15,20 +15,23 @@ A value that is only the beginning of a longer claimed value supports the longer
 value wins), placeholders are no claims, and forms that the field cannot have are held to be implausible.
 
 Groups with the same pattern of claims have the same posterior, so learning runs over distinct patterns
-with their counts, not over groups. Claims are counted by (group, source, value) before a group is
+with their counts, not over groups, and over arrays of a whole Arrow batch, not claim by claim. Claims
+are counted by (group, source, value) before a group is
 gathered, so repeated readings of one hot group shrink to its distinct values; reliabilities are a table of a few dozen rows (bounded by
 sources x kinds x bands, checked). Defined results: groups without any claim give a null value; ties go
-to the larger support of trusted and recent claims, then to the smaller string; rows with the same
-reading id are one reading; empty tables give empty results.
+to the smaller string; rows with the same reading id are one reading; null fields and sources are a field
+and a source of their own, and names of sources may hold any character; empty tables give empty results;
+a reliability that still moves after ``MAX_ROUNDS`` rounds is an error.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,13 +40,11 @@ from ledgerloom.session import spread, write_out
 #: Kinds of claims whose reliability is given, not learned.
 TRUSTED = {"human_corrected": 0.999999, "rerun": 0.99999}
 
-#: Patterns whose outcome a worker remembers.
-CACHE = 200_000
-
 #: Bands of stated confidence; a reading counts as sure from the first bound on.
 BANDS = (0.55, 0.7)
 
-TOLERANCE, MAX_ROUNDS, MAX_SOURCES = 2e-3, 25, 1_000
+#: From round ``DAMPED`` on a reliability goes half the way, so that none swings to and fro for ever.
+TOLERANCE, DAMPED, MAX_ROUNDS, MAX_SOURCES = 1e-3, 25, 200, 1_000
 
 #: Wrong values a source could give instead of the right one, if sources err independently.
 FALSE_VALUES = 10
@@ -54,6 +55,10 @@ IMPLAUSIBLE, PREFIX_SHARE = 1.5, 1.0
 # What systems write for "nothing".
 PLACEHOLDERS = ["", "-", "--", "n/a", "na", "n.a.", "null", "none", "nil", "nan", "unknown", "not available", "?", "??", "???", "tbd"]
 
+#: What all groups with the same claims share.
+PATTERN = ["sids", "at", "times", "flags", "ext"]
+
+
 def plausible(field: Column, text: Column) -> Column:
     """Could the field hold this form?"""
     day, month, year = (F.regexp_extract(text, r"^(\d{2})/(\d{2})/(\d{4})$", i).try_cast("int") for i in (1, 2, 3))
@@ -70,10 +75,10 @@ def plausible(field: Column, text: Column) -> Column:
 
 
 def groups_of(readings: DataFrame) -> DataFrame:
-    """(job_id, field_name, several, texts, pattern) of every group, in one exchange.
+    """(job_id, field_name, several, texts, sids, at, times, flags, ext) of every group, in one exchange.
 
-    ``pattern`` is all that truth discovery looks at: for every counted claim its source, the number of
-    its text and how often it is made, then the plausibility of each text and its longer form.
+    ``sids``, ``at`` and ``times`` are the source, the number of the text and the count of every claim,
+    ``flags`` the plausibility of each text and ``ext`` the number of its longer form, -1 for none.
     """
     band = lambda c: F.when(c < BANDS[0], "low").when(c < BANDS[1], "mid").otherwise("high")
     own_sid = (
@@ -90,26 +95,17 @@ def groups_of(readings: DataFrame) -> DataFrame:
     rows = rows.dropDuplicates(["job_id", "field_name", "reading_id"]).select("job_id", "field_name", "reading_id", F.inline("said"))
     counted = rows.groupBy("job_id", "field_name", "sid", "text").agg(F.count("*").cast("int").alias("n"), F.min("reading_id").alias("lo"), F.max("reading_id").alias("hi"))
     counted = counted.withColumn("ok", plausible(F.col("field_name"), F.col("text")))
-    claim = F.when(F.col("text").isNotNull(), F.struct("sid", "text", "n", "ok"))
+    claim = F.when(F.col("text").isNotNull(), F.struct("sid", "n", "ok", "text"))
     g = counted.groupBy("job_id", "field_name").agg((F.min("lo") < F.max("hi")).alias("several"), F.array_sort(F.collect_list(claim)).alias("c"))
-    g = g.withColumn("texts", F.array_distinct(F.transform("c", lambda c: c["text"])))
-    flags = F.transform("texts", lambda t: F.exists("c", lambda c: (c["text"] == t) & c["ok"]).cast("int"))
-    g = g.withColumn("flags", flags)
-    # The longest plausible text that begins with this one, as its number from 1; 0 if there is none.
-    longer = lambda t: F.filter("texts", lambda x, i: (F.length(x) > F.length(t)) & (F.length(t) >= 2) & x.startswith(t) & (F.try_element_at("flags", i + 1) == 1))
-    best = lambda xs: F.aggregate(xs, F.lit(""), lambda a, x: F.when((F.length(x) > F.length(a)) | ((F.length(x) == F.length(a)) & (x > a)), x).otherwise(a))
-    ext = F.transform("texts", lambda t: F.array_position("texts", best(longer(t))))
-    claims = F.transform("c", lambda c: F.concat_ws(":", c["sid"], F.array_position("texts", c["text"]).cast("string"), c["n"].cast("string")))
-    pattern = F.concat_ws(";", F.array_join(claims, ","), F.array_join(F.transform("flags", lambda x: x.cast("string")), ","), F.array_join(F.transform(ext, lambda x: x.cast("string")), ","))
-    return g.select("job_id", "field_name", "several", "texts", pattern.alias("pattern"))
-
-
-@lru_cache(CACHE)
-def read_pattern(pattern: str) -> tuple[list[tuple[str, int, int]], list[bool], list[int]]:
-    """([(source, text number, times)], plausible, number of the longer form) with numbers from 0, -1 for none."""
-    claims, flags, ext = pattern.split(";")
-    out = [c.rsplit(":", 2) for c in claims.split(",")] if claims else []
-    return [(s, int(t) - 1, int(n)) for s, t, n in out], [x == "1" for x in flags.split(",")], [int(x) - 1 for x in ext.split(",") if x]
+    g = g.withColumn("forms", F.array_distinct(F.transform("c", lambda c: F.struct(c["text"].alias("text"), c["ok"].alias("ok")))))
+    g = g.withColumns({"texts": F.col("forms")["text"], "flags": F.col("forms")["ok"]})
+    # The longest plausible text that begins with this one; of equally long ones the larger.
+    longer = lambda t: F.filter("forms", lambda x: x["ok"] & (F.length(x["text"]) > F.length(t)) & (F.length(t) >= 2) & x["text"].startswith(t))
+    best = lambda xs: F.array_max(F.transform(xs, lambda x: F.struct(F.length(x["text"]).alias("n"), x["text"].alias("t"))))["t"]
+    none = F.array(F.lit(-1))
+    ext = F.when(F.size("texts") < 2, F.slice(none, 1, F.size("texts"))).otherwise(F.transform("texts", lambda t: F.coalesce(F.array_position("texts", best(longer(t))), F.lit(0)).cast("int") - 1))
+    at = F.transform("c", lambda c: F.array_position("texts", c["text"]).cast("int") - 1)
+    return g.select("job_id", "field_name", "several", "texts", F.col("c")["sid"].alias("sids"), at.alias("at"), F.col("c")["n"].alias("times"), "flags", ext.alias("ext"))
 
 
 def _logit(p: float, false_values: int = 1) -> float:
@@ -118,120 +114,168 @@ def _logit(p: float, false_values: int = 1) -> float:
 
 
 def _reader(sid: str) -> str:
-    return sid.split("|")[1] if sid.startswith("value|") else ""
-
-
-def posteriors(parsed: tuple, weight: dict[str, float], copied: dict[tuple[str, str], float]) -> list[float]:
-    """Posterior of every text of a pattern."""
-    claims, flags, ext = parsed
-    own = [0.0] * len(flags)
-    heard: list[list[str]] = [[] for _ in flags]
-    for sid, t, n in sorted(claims, key=lambda c: (-weight.get(c[0], 0.0), c[0])):
-        # A source that repeats itself is hardly more certain.
-        w = weight.get(sid, 0.0) * (1 + math.log(n))
-        reader = _reader(sid)
-        if reader and w > 0:
-            for other in heard[t]:
-                w *= (1 - copied.get((reader, other), 0.0)) ** 3
-            heard[t].append(reader)
-        own[t] += w
-    support = [v if ok else v - IMPLAUSIBLE for v, ok in zip(own, flags)]
-    for t, x in enumerate(ext):
-        if x >= 0:
-            support[x] += PREFIX_SHARE * max(own[t], 0.0)
-    for t, x in enumerate(ext):
-        if x >= 0:
-            support[t] = min(support[t], support[x] - 2.0)
-    top = max(support)
-    e = [math.exp(max(s - top, -60)) for s in support]
-    z = sum(e)
-    return [v / z for v in e]
+    """Who read it, of a sure reading; its name may hold any character."""
+    return sid[len("value|") : -len("|sure")] if sid.startswith("value|") and sid.endswith("|sure") else ""
 
 
 def _start(sid: str) -> float:
     """Before anything is learned a claim counts by its stated confidence."""
+    if sid in TRUSTED:
+        return TRUSTED[sid]
     kind, _, rest = sid.partition("|")
-    if kind in TRUSTED:
-        return TRUSTED[kind]
     return {"low": 0.25, "mid": 0.5, "high": 0.75, "sure": 0.65}[rest.rpartition("|")[2]] + (0.1 if kind == "value" and rest == "|low" else 0.0)
 
 
-def discover(patterns: DataFrame) -> tuple[dict[str, float], dict[tuple[str, str], float]]:
-    """Reliability of every source and dependence of every two readers, learned over all (pattern, n)."""
-    sids = sorted({r[0] for r in patterns.select(F.explode(F.split(F.split_part("pattern", F.lit(";"), F.lit(1)), ",")).alias("c")).select(F.regexp_replace("c", r":\d+:\d+$", "")).distinct().limit(MAX_SOURCES + 1).collect()} - {""})
+class Claims:
+    """The claims of one Arrow batch of patterns as flat arrays; ``sids`` is the sorted list of all sources."""
+
+    def __init__(self, batch: pa.RecordBatch, sids: list[str], readers: list[str]):
+        col = {c: batch.column(c) for c in PATTERN}
+        flat = lambda c: col[c].flatten().to_numpy(zero_copy_only=False)
+        n_claims, n_texts = (np.asarray(pc.list_value_length(col[c])).astype(np.int64) for c in ("sids", "flags"))
+        self.first = np.concatenate([[0], np.cumsum(n_texts)])
+        self.row_of_text = np.repeat(np.arange(len(n_texts)), n_texts)
+        self.row = np.repeat(np.arange(len(n_claims)), n_claims)
+        self.text = self.first[self.row] + flat("at").astype(np.int64)
+        self.sid = np.asarray(pc.index_in(col["sids"].flatten(), value_set=pa.array(sids, pa.string()))).astype(np.int64)
+        self.n = flat("times").astype(float)
+        self.ok = flat("flags").astype(bool)
+        ext = flat("ext").astype(np.int64)
+        self.short = np.flatnonzero(ext >= 0)
+        self.long = self.first[self.row_of_text[self.short]] + ext[self.short]
+        place = {r: i for i, r in enumerate(readers)}
+        self.reader = np.array([place.get(_reader(s), -1) for s in sids], dtype=np.int64)[self.sid] if len(sids) else np.empty(0, np.int64)
+
+    def posteriors(self, weight: np.ndarray, copied: np.ndarray) -> np.ndarray:
+        """Posterior of every text."""
+        # A source that repeats itself is hardly more certain.
+        w = weight[self.sid] * (1 + np.log(self.n))
+        if copied.any():
+            place = np.empty(len(weight), np.int64)
+            place[np.lexsort((np.arange(len(weight)), -weight))] = np.arange(len(weight))
+            read = np.flatnonzero((self.reader >= 0) & (w > 0))
+            read = read[np.argsort(self.text[read] * len(weight) + place[self.sid[read]], kind="stable")]
+            text, reader, own = self.text[read], self.reader[read], np.ones(len(read))
+            for k in range(1, len(read)):
+                met = np.flatnonzero(text[k:] == text[:-k])
+                if not len(met):
+                    break
+                own[met + k] *= (1 - copied[reader[met + k], reader[met]]) ** 3
+            w[read] *= own
+        own = np.bincount(self.text, w, minlength=len(self.ok))
+        support = np.where(self.ok, own, own - IMPLAUSIBLE)
+        np.add.at(support, self.long, PREFIX_SHARE * np.maximum(own[self.short], 0.0))
+        # The longest form has no longer one, so no order among these matters.
+        support[self.short] = np.minimum(support[self.short], support[self.long] - 2.0)
+        if not len(support):
+            return support
+        filled = np.flatnonzero(np.diff(self.first))
+        top = np.zeros(len(self.first) - 1)
+        top[filled] = np.maximum.reduceat(support, self.first[filled])
+        e = np.exp(np.maximum(support - top[self.row_of_text], -60))
+        return e / np.bincount(self.row_of_text, e, minlength=len(top))[self.row_of_text]
+
+    def votes(self, p: np.ndarray, times: np.ndarray, n_sids: int) -> tuple[np.ndarray, np.ndarray]:
+        said = self.n * times[self.row]
+        return np.bincount(self.sid, p[self.text] * said, minlength=n_sids), np.bincount(self.sid, said, minlength=n_sids)
+
+    def agreement(self, p: np.ndarray, times: np.ndarray, n_readers: int) -> tuple[np.ndarray, np.ndarray]:
+        """(wrong values shared, values shared wrongly or disagreed on) of every two readers, the smaller first."""
+        read = np.flatnonzero(self.reader >= 0)
+        read = read[np.lexsort((self.text[read], self.reader[read], self.row[read]))]
+        row, reader, text = self.row[read], self.reader[read], self.text[read]
+        hits, n = np.zeros(n_readers * n_readers), np.zeros(n_readers * n_readers)
+        for k in range(1, len(read)):
+            met = np.flatnonzero(row[k:] == row[:-k])
+            if not len(met):
+                break
+            met = met[reader[met] != reader[met + k]]
+            pair = reader[met] * n_readers + reader[met + k]
+            same = text[met] == text[met + k]
+            wrong = np.where(same, 1 - p[text[met]], 0.0)
+            hits += np.bincount(pair, wrong * times[row[met]], minlength=len(hits))
+            n += np.bincount(pair, np.where(same, wrong, 1.0) * times[row[met]], minlength=len(n))
+        return hits, n
+
+
+def weights_of(rel: np.ndarray, copied: np.ndarray) -> np.ndarray:
+    """Votes: plain log-odds while sources count as unrelated, against many possible errors once copying is known."""
+    return np.array([_logit(p, FALSE_VALUES if copied.any() else 1) for p in rel])
+
+
+def discover(patterns: DataFrame) -> tuple[list[str], list[str], np.ndarray, np.ndarray]:
+    """(sources, readers, reliability of every source, dependence of every two readers), learned over all (pattern, n)."""
+    sids = sorted(r[0] for r in patterns.select(F.explode("sids")).distinct().limit(MAX_SOURCES + 1).collect())
     if len(sids) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources of claims")
-    rel, copied = {s: _start(s) for s in sids}, {}
+    readers = sorted({_reader(s) for s in sids} - {""})
+    start = np.array([_start(s) for s in sids])
+    given = np.array([s in TRUSTED for s in sids], dtype=bool)
+    rel, copied = start.copy(), np.zeros((len(readers), len(readers)))
+    n_readers = len(readers)
     for independent in (True, False):
-        for _ in range(MAX_ROUNDS):
+        for turn in range(MAX_ROUNDS):
             weight = weights_of(rel, copied)
 
-            def run(batches: Iterator[pd.DataFrame], weight: dict = weight, copied: dict = copied) -> Iterator[pd.DataFrame]:
-                total: dict[tuple[str, str], list[float]] = {}
-                for pdf in batches:
-                    for pattern, times in zip(pdf["pattern"], pdf["n"]):
-                        parsed = read_pattern(pattern)
-                        claims = parsed[0]
-                        if not claims:
-                            continue
-                        p = posteriors(parsed, weight, copied)
-                        for sid, text, n in claims:
-                            t = total.setdefault((sid, ""), [0.0, 0.0])
-                            t[0] += p[text] * n * times
-                            t[1] += n * times
-                        # Pairs of readers are few: a reader counts once for each value of a group.
-                        said = sorted({(_reader(sid), text) for sid, text, _ in claims if _reader(sid)})
-                        for i, (x, tx) in enumerate(said):
-                            for y, ty in said[i + 1 :]:
-                                if x != y:
-                                    t = total.setdefault((x, y), [0.0, 0.0])
-                                    wrong = 1 - p[tx] if tx == ty else 0.0
-                                    t[0] += wrong * times
-                                    t[1] += (wrong if tx == ty else 1.0) * times
-                yield pd.DataFrame([(a, b, v, n) for (a, b), (v, n) in total.items()], columns=["x", "y", "hits", "n"])
-
-            got = patterns.mapInPandas(run, "x string, y string, hits double, n double").groupBy("x", "y").agg(F.sum("hits"), F.sum("n")).collect()
-            new = {x: TRUSTED.get(x, (h + 4 * _start(x)) / (n + 4)) for x, y, h, n in got if not y}
-            moved = max((abs(new[s] - rel[s]) for s in new), default=0.0)
-            rel = {**rel, **new}
+            def run(batches: Iterator[pa.RecordBatch], weight: np.ndarray = weight, copied: np.ndarray = copied) -> Iterator[pa.RecordBatch]:
+                total: dict[int, np.ndarray] = {}
+                for b in batches:
+                    c, times = Claims(b, sids, readers), b.column("n").to_numpy(zero_copy_only=False).astype(float)
+                    p = c.posteriors(weight, copied)
+                    for k, (hits, n) in enumerate((c.votes(p, times, len(sids)), c.agreement(p, times, n_readers))):
+                        total[k] = total.get(k, 0.0) + np.stack([hits, n])
+                for k, (hits, n) in total.items():
+                    at = np.flatnonzero(n)
+                    yield pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(at), k), pa.int32()), "at": pa.array(at, pa.int32()), "hits": pa.array(hits[at]), "n": pa.array(n[at])})
+
+            got = patterns.mapInArrow(run, "kind int, at int, hits double, n double").groupBy("kind", "at").agg(F.sum("hits"), F.sum("n")).collect()
+            new = rel.copy()
+            for kind, at, h, n in got:
+                if kind == 0 and not given[at]:
+                    new[at] = (h + 4 * start[at]) / (n + 4)
+            if turn >= DAMPED:
+                new = (new + rel) / 2
+            moved = float(np.abs(new - rel).max(initial=0.0))
+            rel = new
             if not independent or moved < TOLERANCE:
-                pairs = {(x, y): h / (n + 10) for x, y, h, n in got if y}
-                copied = {**pairs, **{(y, x): v for (x, y), v in pairs.items()}}
+                pairs = np.zeros(n_readers * n_readers)
+                for kind, at, h, n in got:
+                    if kind == 1:
+                        pairs[at] = h / (n + 10)
+                pairs = pairs.reshape(n_readers, n_readers)
+                copied = pairs + pairs.T
             if moved < TOLERANCE:
                 break
-    return rel, copied
-
-
-def weights_of(rel: dict[str, float], copied: dict) -> dict[str, float]:
-    """Votes: plain log-odds while sources count as unrelated, against many possible errors once copying is known."""
-    return {s: _logit(p, FALSE_VALUES if copied else 1) for s, p in rel.items()}
+        else:
+            raise RuntimeError(f"reliabilities still move by {moved:.4f} after {MAX_ROUNDS} rounds")
+    return sids, readers, rel, copied
 
 
 def surviving_values(readings: DataFrame) -> DataFrame:
     """(job_id, field_name, best_value, posterior, several) of every group; ``several`` says if it has two readings."""
     groups = write_out(groups_of(readings))
-    patterns = write_out(spread(groups.groupBy("pattern").agg(F.count("*").alias("n")), "pattern"))
-    rel, copied = discover(patterns)
+    patterns = write_out(spread(groups.groupBy(*PATTERN).agg(F.count("*").alias("n")), *PATTERN))
+    sids, readers, rel, copied = discover(patterns)
     weight = weights_of(rel, copied)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, list[float]] = {}
-        for pdf in batches:
-            out = []
-            for job, field, several, texts, pattern in zip(*(pdf[c] for c in ("job_id", "field_name", "several", "texts", "pattern"))):
-                if not len(texts):
-                    out.append((job, field, None, None, several))
-                    continue
-                p = known.get(pattern)
-                if p is None:
-                    p = posteriors(read_pattern(pattern), weight, copied)
-                    if len(known) < CACHE:
-                        known[pattern] = p
-                best = min(range(len(texts)), key=lambda i: (-round(p[i], 9), texts[i]))
-                out.append((job, field, texts[best], p[best], several))
-            yield pd.DataFrame(out, columns=["job_id", "field_name", "best_value", "posterior", "several"])
-
-    return groups.mapInPandas(run, "job_id string, field_name string, best_value string, posterior double, several boolean")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            c = Claims(b, sids, readers)
+            p = c.posteriors(weight, copied)
+            texts = b.column("texts").flatten()
+            near = np.round(p, 9)
+            # The best text of every group; equal posteriors go to the smaller string.
+            order = np.lexsort((-near, c.row_of_text))
+            filled = np.diff(c.first) > 0
+            best = np.full(b.num_rows, -1, np.int64)
+            best[filled] = order[c.first[:-1][filled]]
+            top = near[best[c.row_of_text]] == near
+            for r in np.flatnonzero(np.bincount(c.row_of_text, top, minlength=b.num_rows) > 1):
+                best[r] = min((i for i in range(c.first[r], c.first[r + 1]) if top[i]), key=lambda i: texts[i].as_py())
+            chosen = pa.array(best, mask=best < 0)
+            yield pa.RecordBatch.from_arrays([b.column("job_id"), b.column("field_name"), texts.take(chosen), pa.array(p, pa.float64()).take(chosen), b.column("several")], names=["job_id", "field_name", "best_value", "posterior", "several"])
+
+    return groups.mapInArrow(run, "job_id string, field_name string, best_value string, posterior double, several boolean")
 
 
 def best_values(readings: DataFrame) -> DataFrame:

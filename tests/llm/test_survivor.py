@@ -26,3 +26,16 @@ def test_survivors(spark):
     assert got["a"] == "Right Name" and got["b"] == "Kuberan Bank" and got["c"] == "Kuberan Bank" and got["d"] == "Samudra"
     assert "e" not in got and got["f"] is None and got["h1"] == "Samudra Foods"
     assert best_values(df.limit(0)).count() == 0
+
+
+def test_sources_may_hold_any_character(spark):
+    rows = []
+    for i, source in enumerate(("ocr,v2", "ocr;v2", "ocr:1|2", "value|x|sure", "", None)):
+        rows += [(10 * i + k, f"j{i}", "buyer_name", v, 0.9, s, [], None, "x") for k, (v, s) in enumerate((("Kuberan Bank", source), ("Kuberan Bank", "native_pdf"), ("Kuhran Bank", "llm")))]
+    got = {r.job_id: r.best_value for r in best_values(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {f"j{i}": "Kuberan Bank" for i in range(6)}
+
+
+def test_ties_go_to_the_smaller_string(spark):
+    rows = [(k, "j", "buyer_name", v, 0.9, s, [], None, "x") for k, (v, s) in enumerate((("Beta Bank", "ocr"), ("Alpha Bank", "ocr")))]
+    assert [r.best_value for r in best_values(spark.createDataFrame(rows, SCHEMA)).collect()] == ["Alpha Bank"]
