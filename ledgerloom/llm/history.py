@@ -19,9 +19,13 @@ key says so, and meets only records with which the field is missing on a side:
 
 Together they reach every pair that ``same_invoice`` accepts (tested).
 
-``build_segments`` makes the index of a batch, to be appended to the stored one (it is partitioned
-by batch and never rewritten); ``probe`` looks a batch up in it. ``verify`` then compares number, tax
-number, total, date and buyer, which numbers reused by a vendor and equal recurring totals need.
+The index is stored: ``append_batch`` adds one batch's segments and comparable records to a folder, each
+partitioned by batch, and ``find_repeats`` looks a batch up in what is stored, so adding a batch reads
+segments and the few records that meet, never the facts of older batches. Appending a batch again
+replaces that batch only. Records of one batch that agree in all comparable fields are one entry with its
+jobs beside it, so a thousand copies of one record cost as much as one. ``verify`` first bounds the edit
+distances of number, tax number and total and the days between on generated code; what is left is
+compared with date and parties, which numbers reused by a vendor and equal recurring totals need.
 
 Defined results: null, blank and unreadable fields make no segments; a record without number and
 total finds and is found by nothing; rows delivered twice are one job; a record is never paired with
@@ -31,26 +35,31 @@ itself; ties do not matter, every pair that verifies is returned; empty tables g
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from datetime import date
 from functools import lru_cache
 from itertools import product
 
+import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.names import compatible, parse_name
 from ledgerloom.llm.text import distance
 from ledgerloom.operators.timestamps import normalise_timestamps
-from ledgerloom.session import spread
+from ledgerloom.session import ensure_checkpoint_dir, spread
 
 #: Edits that a field may be away; it is then cut into one segment more.
 EDITS = 2
 
 ACCEPTED = ("done", "reviewed")
 
+#: The comparable forms of a record.
+PARTS = ["number", "serial", "tax", "total", "day", "buyer", "vendor"]
+
 # Letters that scanners put for digits, and notes that people add to an invoice number.
 _DIGITS = str.maketrans("OQDILZSBG", "000112586")
 _NOTE_BEFORE = re.compile(r"^\s*(?:(?:tax\s+)?invoice|inv|bill|no|num|number|ti|ref|nr)?\s*(?:no)?\s*[.#:/-]*\s+|^\s*(?:inv|no|ti|bill|ref)\s*[.#:/-]+\s*(?=[A-Za-z0-9])|^\s*#\s*", re.I)
@@ -163,19 +172,22 @@ def _keys(number: str, serial: str, tax: str, total: str, day: str, index: bool)
 
 
 def _key_rows(records: DataFrame, index: bool) -> DataFrame:
+    fields = ["number", "serial", "tax", "total", "day"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for job, batch, *fields in zip(*(pdf[c] for c in ("job_id", "batch_no", "number", "serial", "tax", "total", "day"))):
-                out += [(k, job, batch) for k in _keys(*fields, index)]
-            yield pd.DataFrame(out, columns=["key", "job_id", "batch_no"])
+            for at in range(0, len(pdf), 2_000):
+                some = pdf.iloc[at : at + 2_000]
+                keys = [_keys(*row, index) for row in zip(*(some[c] for c in fields))]
+                n = [len(k) for k in keys]
+                yield pd.DataFrame({"key": np.fromiter((k for ks in keys for k in ks), np.int64, sum(n)), "entry": np.repeat(some["entry"].to_numpy(), n), "batch_no": np.repeat(some["batch_no"].to_numpy(), n)})
 
-    return records.select("job_id", "batch_no", "number", "serial", "tax", "total", "day").mapInPandas(run, "key bigint, job_id string, batch_no int")
+    return records.select("entry", "batch_no", *fields).mapInPandas(run, "key bigint, entry bigint, batch_no int")
 
 
 def prepare(facts: DataFrame, sites: DataFrame) -> DataFrame:
     """One record per job with the comparable forms of its fields; ``day`` is the invoice date's UTC day."""
-    once = facts.groupBy("job_id").agg(*[F.first(c).alias(c) for c in facts.columns if c != "job_id"])
+    once = facts.groupBy("job_id").agg(F.min(F.struct(*[c for c in facts.columns if c != "job_id"])).alias("r")).select("job_id", "r.*")
     once = once.join(F.broadcast(sites.select("site_id", "time_zone", "date_order")), "site_id", "left")
     dated = normalise_timestamps(once, "invoice_date", "site_id", "time_zone", "date_order", zones=sites)
     cols = ["job_id", "batch_no", "status", "invoice_number", "vendor_gstin", "grand_total", "buyer_name", "vendor_name", "ts_normal"]
@@ -195,16 +207,58 @@ def prepare(facts: DataFrame, sites: DataFrame) -> DataFrame:
     return dated.select(*cols).mapInPandas(run, schema)
 
 
-def build_segments(records: DataFrame) -> DataFrame:
-    """(key, job_id, batch_no): the index rows of the accepted records, to be appended to the stored index."""
-    return _key_rows(records.where("accepted"), index=True)
+def entries(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entries, jobs of entries): records of one batch and standing that agree in all comparable fields are one entry."""
+    named = records.withColumn("entry", F.xxhash64("batch_no", "accepted", *PARTS))
+    # Equal rows lie together, so neither step moves a row again.
+    named = spread(named.select("entry", "batch_no", "accepted", *PARTS, "job_id"), "entry")
+    return named.drop("job_id").dropDuplicates(), named.select("entry", "batch_no", "job_id").dropDuplicates()
+
+
+def build_segments(held: DataFrame) -> DataFrame:
+    """(key, entry, batch_no): the index rows of the accepted entries, to be appended to the stored index."""
+    return _key_rows(held.where("accepted"), index=True)
+
+
+def append_batch(records: DataFrame, path: str) -> None:
+    """Adds the accepted records of one or more batches to the index in ``path``; a batch that is there already is replaced."""
+    held, jobs = entries(records.where("accepted"))
+    for name, df in (("segments", build_segments(held)), ("records", held), ("jobs", jobs)):
+        # Small batches share a task, a large one is split by adaptive execution; no task writes a whole batch however large it is.
+        df.hint("rebalance", "batch_no").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_no").parquet(f"{path}/{name}")
+
+
+#: Columns of the stored tables, with the batch last as it is their partition.
+_STORED = {"segments": "key bigint, entry bigint, batch_no int", "records": "entry bigint, accepted boolean, " + ", ".join(f"{c} string" for c in PARTS) + ", batch_no int", "jobs": "entry bigint, job_id string, batch_no int"}
 
 
-def probe(records: DataFrame, index: DataFrame) -> DataFrame:
-    """(job_id_a, job_id_b): accepted jobs of earlier batches that a record may repeat."""
-    asked = _key_rows(records, index=False).withColumnsRenamed({"job_id": "job_id_b", "batch_no": "batch_b"})
-    held = index.withColumnsRenamed({"job_id": "job_id_a", "batch_no": "batch_a"})
-    return held.join(asked, "key").where(F.col("batch_a") < F.col("batch_b")).select("job_id_a", "job_id_b").distinct()
+def stored(spark: SparkSession, path: str, name: str) -> DataFrame:
+    return spark.read.schema(_STORED[name]).parquet(f"{path}/{name}")
+
+
+def probe(asked: DataFrame, index: DataFrame) -> DataFrame:
+    """(entry_a, entry_b): accepted entries of earlier batches that an entry may repeat."""
+    mine = _key_rows(asked, index=False).withColumnsRenamed({"entry": "entry_b", "batch_no": "batch_b"})
+    held = index.withColumnsRenamed({"entry": "entry_a", "batch_no": "batch_a"})
+    return held.join(mine, "key").where(F.col("batch_a") < F.col("batch_b")).select("entry_a", "entry_b").distinct()
+
+
+def find_repeats(records: DataFrame, path: str) -> DataFrame:
+    """(job_id_a, job_id_b): each of the records with the accepted jobs of earlier batches in the index that record the same invoice."""
+    spark = records.sparkSession
+    asked, jobs = entries(records)
+    pairs = verify(probe(asked, stored(spark, path, "segments")), stored(spark, path, "records"), asked)
+    a = stored(spark, path, "jobs").select(F.col("entry").alias("entry_a"), F.col("job_id").alias("job_id_a"))
+    return pairs.join(a, "entry_a").join(jobs.select(F.col("entry").alias("entry_b"), F.col("job_id").alias("job_id_b")), "entry_b").select("job_id_a", "job_id_b")
+
+
+def batch_pairs(records: DataFrame, path: str | None = None) -> DataFrame:
+    """All batches of ``records`` against all earlier ones; the index is kept in ``path``, else in the shared folder."""
+    if path is None:
+        ensure_checkpoint_dir(records.sparkSession)
+        path = f"{records.sparkSession.sparkContext.getCheckpointDir()}/segments-{uuid.uuid4().hex}"
+    append_batch(records, path)
+    return find_repeats(records, path)
 
 
 def _days(a: str, b: str) -> int:
@@ -274,14 +328,27 @@ def same_invoice(a: dict, b: dict) -> bool:
     ) or (total == "near" and tax in ("same", "near") and day == "same" and buyer in ("same", "near"))
 
 
-def verify(candidates: DataFrame, records: DataFrame) -> DataFrame:
-    parts = ["number", "serial", "tax", "total", "day", "buyer", "vendor"]
-    p = F.struct(*parts)
-    both = candidates.join(records.select(F.col("job_id").alias("job_id_a"), p.alias("a")), "job_id_a").join(records.select(F.col("job_id").alias("job_id_b"), p.alias("b")), "job_id_b")
+def _within_bounds(a: str, b: str) -> Column:
+    """What ``same_invoice`` needs at least, by edit distances alone. A swap counts as one there and as two here."""
+    f = lambda side, c: F.col(f"{side}.{c}")
+    missing = lambda c: (f(a, c) == "") | (f(b, c) == "")
+    close = lambda x, y, n: F.levenshtein(x, y, n) >= 0
+    tax = missing("tax") | close(F.substring(f(a, "tax"), 1, 14), F.substring(f(b, "tax"), 1, 14), 2 * EDITS)
+    day = missing("day") | (F.abs(F.datediff(f(a, "day").cast("date"), f(b, "day").cast("date"))) <= 1)
+    digits = lambda side: F.array_sort(F.split(f(side, "total"), ""))
+    total = missing("total") | close(f(a, "total"), f(b, "total"), 2) | (F.abs(f(a, "total").cast("bigint") - f(b, "total").cast("bigint")) <= 100) | (digits(a) == digits(b))
+    number = missing("number") | close(f(a, "number"), f(b, "number"), 2 * EDITS) | (f(a, "serial") == f(b, "serial"))
+    return tax & (((f(a, "number") == f(b, "number")) & ~missing("number")) | (day & total & number))
+
+
+def verify(candidates: DataFrame, held: DataFrame, asked: DataFrame) -> DataFrame:
+    """(entry_a, entry_b) of the candidates that record one invoice."""
+    p = F.struct(*PARTS)
+    both = candidates.join(held.select(F.col("entry").alias("entry_a"), p.alias("a")), "entry_a").join(asked.select(F.col("entry").alias("entry_b"), p.alias("b")), "entry_b").where(_within_bounds("a", "b"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             keep = [same_invoice(x, y) for x, y in zip(pdf["a"], pdf["b"])]
-            yield pdf.loc[keep, ["job_id_a", "job_id_b"]]
+            yield pdf.loc[keep, ["entry_a", "entry_b"]]
 
-    return spread(both, "job_id_a").mapInPandas(run, "job_id_a string, job_id_b string")
+    return spread(both, "entry_a", "entry_b").mapInPandas(run, "entry_a bigint, entry_b bigint")

@@ -1,6 +1,6 @@
 import random
 
-from ledgerloom.llm.history import EDITS, build_segments, number_core, probe, probes, same_invoice, segments, tax_core
+from ledgerloom.llm.history import EDITS, build_segments, entries, number_core, probe, probes, same_invoice, segments, tax_core
 from ledgerloom.llm.text import distance
 
 
@@ -39,6 +39,8 @@ def test_verdicts():
 def test_probe_looks_only_back(spark):
     rows = [("a", 1, True, *rec().values()), ("b", 2, True, *rec().values()), ("c", 2, False, *rec(number="INV188", serial="188").values()), ("d", 3, False, "", "", "", "", "", "", "")]
     df = spark.createDataFrame(rows, "job_id string, batch_no int, accepted boolean, number string, serial string, tax string, total string, day string, buyer string, vendor string")
-    got = {(r.job_id_a, r.job_id_b) for r in probe(df, build_segments(df)).collect()}
+    held, jobs = entries(df)
+    name = {r.entry: r.job_id for r in jobs.collect()}
+    got = {(name[r.entry_a], name[r.entry_b]) for r in probe(held, build_segments(held)).collect()}
     assert got == {("a", "b"), ("a", "c")}
-    assert probe(df.limit(0), build_segments(df.limit(0))).count() == 0
+    assert probe(held.limit(0), build_segments(held.limit(0))).count() == 0

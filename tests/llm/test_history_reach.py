@@ -1,6 +1,6 @@
 import random
 
-from ledgerloom.llm.history import _keys, build_segments, probe, same_invoice, serial_of, tax_core, verify
+from ledgerloom.llm.history import _keys, append_batch, batch_pairs, find_repeats, same_invoice, serial_of, tax_core
 
 COLUMNS = "job_id string, batch_no int, accepted boolean, number string, serial string, tax string, total string, day string, buyer string, vendor string"
 
@@ -9,7 +9,7 @@ def rec(**x):
     return {"number": "INV183", "serial": "183", "tax": tax_core("57YURLY5501P1Z3"), "total": "578900", "day": "2026-06-17", "buyer": "Shujunepus Pharma Distributors", "vendor": "Tehuvudik Steel"} | x
 
 
-def test_every_accepted_pair_is_reached(spark):
+def test_every_accepted_pair_is_reached(spark, tmp_path):
     """Probe and verify together, one pair for each clause of ``same_invoice``."""
     kolm, near = "Kolm Traders", "Shujunepus Pharma Distrs"
     blank = {"number": "", "serial": ""}
@@ -41,7 +41,7 @@ def test_every_accepted_pair_is_reached(spark):
     order = list(rec())
     rows = [(f"{i}{x}", k, True, *(r[c] for c in order)) for i, p in enumerate(cases) for k, (x, r) in enumerate(zip("ab", p))]
     df = spark.createDataFrame(rows, COLUMNS)
-    got = {(r.job_id_a, r.job_id_b) for r in verify(probe(df, build_segments(df)), df).collect()}
+    got = {(r.job_id_a, r.job_id_b) for r in batch_pairs(df, str(tmp_path)).collect()}
     held, asked = [r for r in rows if r[1] == 0], [r for r in rows if r[1] == 1]
     want = {(a[0], b[0]) for a in held for b in asked if same_invoice(dict(zip(order, a[3:])), dict(zip(order, b[3:])))}
     assert got == want and all((f"{i}a", f"{i}b") in got for i in range(len(cases)))
@@ -74,3 +74,28 @@ def test_keys_meet_whatever_is_accepted():
                 f = ("number", "serial", "tax", "total", "day")
                 assert _keys(*(a[k] for k in f), True) & _keys(*(b[k] for k in f), False), (a, b)
     assert seen > 1000
+
+
+def test_batches_appended_one_by_one_give_what_all_at_once_gives(spark, tmp_path):
+    first = rec(number="MIM2627340", serial="340")
+    rows = [(f"{b}{i}", b, i != 2, *r.values()) for b in (1, 2, 3) for i, r in enumerate((first, first, first, first | {"total": "578901"}, rec(number=f"X{b}99", serial=f"{b}99", total=f"{b}77001")))]
+    df = spark.createDataFrame(rows, COLUMNS)
+    whole = {tuple(r) for r in batch_pairs(df, str(tmp_path / "whole")).collect()}
+    path, got = str(tmp_path / "steps"), set()
+    append_batch(df.where("batch_no = 1"), path)
+    for b in (2, 3):
+        batch = df.where(f"batch_no = {b}")
+        got |= {tuple(r) for r in find_repeats(batch, path).collect()}  # reads the index, no older batch
+        append_batch(batch, path)
+        append_batch(batch, path)  # a job that is run again changes nothing
+    assert got == whole and ("10", "21") in got and ("12", "21") not in got and ("10", "22") in got
+    assert not any(a[0] == b[0] for a, b in got)
+    assert batch_pairs(df.limit(0), str(tmp_path / "none")).count() == 0
+
+
+def test_many_copies_are_one_entry(spark, tmp_path):
+    rows = [(f"{b}-{i}", b, True, *rec().values()) for b in (1, 2) for i in range(200)]
+    df = spark.createDataFrame(rows, COLUMNS)
+    append_batch(df, str(tmp_path))
+    assert spark.read.parquet(f"{tmp_path}/records").count() == 2
+    assert find_repeats(df, str(tmp_path)).count() == 200 * 200
