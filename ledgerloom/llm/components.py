@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.session import cut
 
-#: The algorithm ends after a number of rounds logarithmic in the longest path; this is a guard only.
+#: The algorithm ends after a number of rounds logarithmic in the longest path; what has not ended by then is an error.
 MAX_ROUNDS = 60
 
 
@@ -37,5 +37,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if new == mark:
             break
         mark = new
+    else:
+        raise RuntimeError(f"components are not complete after {MAX_ROUNDS} rounds")
     roots = now.select(F.col("v").alias("id"), F.col("v").alias("component"))
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots).distinct()

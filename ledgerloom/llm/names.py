@@ -40,6 +40,9 @@ MIN_COSINE, MIN_LINKAGE = 0.25, 0.20
 #: Length of the character n-grams. Four keep the postings short: three-letter syllables recur in every tenth name.
 GRAM = 4
 
+#: Rows of one gram that meet in one task.
+BLOCK = 1_000
+
 #: Components of at most this many links are clustered in one task each; larger ones in distributed rounds, with the same result.
 LOCAL_LINKS = 20_000
 
@@ -171,9 +174,18 @@ def class_key(parsed: tuple) -> str:
     return "p|" + " ".join(core)
 
 
-def stem(parsed: tuple) -> str:
-    """The distinctive part that variants share: a firm's own name, a person's longest name."""
-    return "".join(parsed[1]) if parsed[0] == "firm" else max(parsed[1], key=len, default="")
+def surnames(core: list[str]) -> list[str]:
+    """The names of a person that may be the surname by their place: the last one, or the first before initials."""
+    if not core:
+        return []
+    return [core[-1]] if len(core[-1]) > 1 else [core[0]]
+
+
+def stems(parsed: tuple) -> list[str]:
+    """The distinctive parts that variants share: a firm's own name, a person's longest name and surname."""
+    if parsed[0] == "firm":
+        return ["".join(parsed[1])]
+    return list(dict.fromkeys([max(parsed[1], key=len, default=""), *surnames(parsed[1])]))
 
 
 def _initials_of(words: list[str]) -> str:
@@ -203,14 +215,18 @@ def _given_alike(a: str, b: str) -> bool:
 
 def _persons(a: list[str], b: list[str]) -> bool:
     """Surname and given names in any order of the surname; a middle name may be missing."""
-    def split(x: list[str]) -> list[tuple[str, list[str]]]:
-        long = [t for t in x if len(t) > 1]
+    def split(x: list[str]) -> list[tuple[str, list[str], bool]]:
+        """(surname, given names, does its place say that it is the surname)."""
         ends = {x[-1], x[0]} if len(x) > 1 else set()
-        return [(s, [t for j, t in enumerate(x) if j != x.index(s)]) for s in sorted(ends, key=len, reverse=True) if s in long and len(s) >= 4]
-
-    for sa, ga in split(a):
-        for sb, gb in split(b):
-            if min(len(sa), len(sb)) < 6 or not _same_core(sa, sb):
+        return [(s, [t for j, t in enumerate(x) if j != x.index(s)], s in surnames(x)) for s in sorted(ends, key=len, reverse=True) if len(s) > 1]
+
+    for sa, ga, placed_a in split(a):
+        for sb, gb, placed_b in split(b):
+            if min(len(sa), len(sb)) < 6:
+                # Short surnames are near many others: they must stand where surnames stand, and be equal or one slip apart beside an equal given name.
+                if not (placed_a and placed_b and (sa == sb or (min(len(sa), len(sb)) >= 4 and near(sa, sb, 1) and ga == gb and len(ga[0]) >= 3))):
+                    continue
+            elif not _same_core(sa, sb):
                 continue
             if ga and gb and _given_alike(ga[0], gb[0]):
                 short, long = sorted((ga[1:], gb[1:]), key=len)
@@ -248,7 +264,7 @@ def compatible(pa: tuple, pb: tuple) -> bool:
     return bool(wa and wb) and (set(wa) <= set(wb) or set(wb) <= set(wa))
 
 
-_CLASS_SCHEMA = "name string, class_key string, stem string, kind string, core array<string>, trade array<string>, initials array<string>, legal array<string>"
+_CLASS_SCHEMA = "name string, class_key string, stems array<string>, kind string, core array<string>, trade array<string>, initials array<string>, legal array<string>"
 
 
 def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -256,8 +272,8 @@ def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for name in pdf["name"]:
             p = parse_name(name)
-            rows.append((name, class_key(p), stem(p), *p))
-        yield pd.DataFrame(rows, columns=["name", "class_key", "stem", "kind", "core", "trade", "initials", "legal"])
+            rows.append((name, class_key(p), stems(p), *p))
+        yield pd.DataFrame(rows, columns=["name", "class_key", "stems", "kind", "core", "trade", "initials", "legal"])
 
 
 def parse_names(names: DataFrame) -> DataFrame:
@@ -277,15 +293,17 @@ def cosine_pairs(vectors: DataFrame, min_cosine: float) -> DataFrame:
     n = vectors.count()
     if n == 0:
         return spark.createDataFrame([], "a bigint, b bigint, cosine double")
+    # A gram of many rows is met in blocks of its rows, each in a task of its own.
+    blocks = F.ceil(F.col("df") / BLOCK).cast("int")
     post = vectors.select("id", F.explode("grams").alias("g"))
     df = post.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
     norm = Window.partitionBy("id")
     # A gram of one row meets nothing but counts in the row's length.
     weighted = post.join(df, "g", "left").select("id", F.xxhash64("g").alias("g"), "df", F.log(1 + F.lit(n) / F.coalesce("df", F.lit(1))).alias("w"))
-    units = cut(weighted.select("id", "g", "df", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(norm))).alias("u")).where("df > 1").select("id", "g", "u"))
-    left = units.select(F.col("id").alias("a"), "g", F.col("u").alias("ua"))
-    right = units.select(F.col("id").alias("b"), "g", F.col("u").alias("ub"))
-    met = left.join(right, "g").where(F.col("a") < F.col("b")).groupBy("a", "b").agg(F.sum(F.col("ua") * F.col("ub")).alias("cosine"))
+    units = cut(weighted.select("id", "g", "df", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(norm))).alias("u")).where("df > 1").select("id", "g", "u", blocks.alias("blocks")))
+    left = units.select(F.col("id").alias("a"), "g", F.col("u").alias("ua"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    right = units.select(F.col("id").alias("b"), "g", F.col("u").alias("ub"), F.pmod(F.hash("id"), F.col("blocks")).alias("block"))
+    met = left.join(right, ["g", "block"]).where(F.col("a") < F.col("b")).groupBy("a", "b").agg(F.sum(F.col("ua") * F.col("ub")).alias("cosine"))
     return met.where(F.col("cosine") >= min_cosine)
 
 
@@ -367,11 +385,20 @@ def cluster_links(links: DataFrame, least: float) -> DataFrame:
     placed = links.join(comp.withColumnRenamed("id", "a"), "a")
     placed = cut(placed.join(placed.groupBy("component").agg(F.count("*").alias("n_links")), "component"))
 
-    def local(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = average_linkage(list(zip(pdf["a"], pdf["b"], pdf["sim"])), least)
-        return pd.DataFrame(list(got.items()), columns=["id", "cluster"])
-
-    small = spread(placed.where(F.col("n_links") <= LOCAL_LINKS), "component").groupBy("component").applyInPandas(local, "id string, cluster string")
+    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for links in pdf["links"]:
+                if len(links) == 1:
+                    a, b, sim = links[0]["a"], links[0]["b"], links[0]["sim"]
+                    out += [(a, min(a, b)), (b, min(a, b))] if sim >= least else [(a, a), (b, b)]
+                else:
+                    out += average_linkage([(x["a"], x["b"], x["sim"]) for x in links], least).items()
+            yield pd.DataFrame(out, columns=["id", "cluster"])
+
+    # One row for each small component, many of them in one batch.
+    gathered = spread(placed.where(F.col("n_links") <= LOCAL_LINKS), "component").groupBy("component").agg(F.collect_list(F.struct("a", "b", "sim")).alias("links"))
+    small = gathered.select("links").mapInPandas(local, "id string, cluster string")
     large = placed.where(F.col("n_links") > LOCAL_LINKS).select("a", "b", "sim")
     return small if large.isEmpty() else small.union(_linkage_rounds(large, least))
 
@@ -379,8 +406,9 @@ def cluster_links(links: DataFrame, least: float) -> DataFrame:
 def name_parties(names: DataFrame) -> DataFrame:
     """(name, class_key, party): every distinct non-blank string of column ``name`` with the party it names."""
     parsed = cut(parse_names(names))
-    classes = parsed.groupBy("class_key").agg(*[F.first(c).alias(c) for c in ("stem", "kind", "core", "trade", "initials", "legal")])
-    classes = cut(classes.withColumn("sid", F.xxhash64("stem")))
+    # Strings with one key may differ in their legal form only; the least parse stands for all.
+    classes = parsed.groupBy("class_key").agg(F.min(F.struct("kind", "core", "trade", "initials", "legal", "stems")).alias("p")).select("class_key", "p.*")
+    classes = cut(classes.withColumn("stem", F.explode("stems")).withColumn("sid", F.xxhash64("stem")))
 
     def to_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -396,7 +424,10 @@ def name_parties(names: DataFrame) -> DataFrame:
     parts = classes.select("class_key", "sid", F.struct("kind", "core", "trade", "initials", "legal").alias("p"))
     pa = parts.select(F.col("sid").alias("a"), F.col("class_key").alias("ka"), F.col("p").alias("pa"))
     pb = parts.select(F.col("sid").alias("b"), F.col("class_key").alias("kb"), F.col("p").alias("pb"))
-    both = stems.join(pa, "a").join(pb, "b").where(F.col("ka") < F.col("kb")).select(F.col("ka").alias("a"), F.col("kb").alias("b"), "cosine", "pa", "pb")
+    # Two persons may meet by surname and by their longest names: once is enough, with the better cosine.
+    met = stems.join(pa.drop("pa"), "a").join(pb.drop("pb"), "b").where(F.col("ka") < F.col("kb")).groupBy("ka", "kb").agg(F.max("cosine").alias("cosine"))
+    whole = classes.select("class_key", F.struct("kind", "core", "trade", "initials", "legal").alias("p")).dropDuplicates(["class_key"])
+    both = met.join(whole.toDF("ka", "pa"), "ka").join(whole.toDF("kb", "pb"), "kb").select(F.col("ka").alias("a"), F.col("kb").alias("b"), "cosine", "pa", "pb")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -62,3 +62,20 @@ def test_components(spark):
 def test_extra_columns_and_repeats(spark):
     df = spark.createDataFrame([("Mimotokon Ceramics", 1, "p")] * 50, "name string, a int, party string")
     assert name_parties(df).count() == 1
+
+
+def test_short_surnames_link_by_place(spark):
+    got = pairs(spark, ["Ravi Kumar", "R. Kumar", "Ravi Kumarr", "Anil Mehta", "Anil Metha", "Ramachandran Gupta", "R. Gupta", "Suresh Rao", "Naresh Rao", "Ravi Prasad"])
+    assert ("R. Kumar", "Ravi Kumar") in got and ("Ravi Kumar", "Ravi Kumarr") in got and ("Anil Mehta", "Anil Metha") in got
+    assert ("R. Gupta", "Ramachandran Gupta") in got
+    assert not any({"Suresh Rao", "Naresh Rao"} == {*p} or "Ravi Prasad" in p for p in got)
+
+
+def test_blocks_of_a_heavy_gram_lose_nothing(spark, monkeypatch):
+    from ledgerloom.llm import names
+
+    rows = [(i, [f"g{i % 3}", "all", f"own{i}"]) for i in range(40)]
+    df = spark.createDataFrame(rows, "id bigint, grams array<string>")
+    want = {(r.a, r.b, round(r.cosine, 9)) for r in cosine_pairs(df, 0.0).collect()}
+    monkeypatch.setattr(names, "BLOCK", 7)
+    assert {(r.a, r.b, round(r.cosine, 9)) for r in cosine_pairs(df, 0.0).collect()} == want and len(want) == 40 * 39 // 2
