@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,11 +32,24 @@ def table(spark: SparkSession, directory: str, name: str, columns: list[str] | N
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; a private one only where none is configured."""
+    """Use the cluster's shared checkpoint folder. A local session makes its own; a cluster without one is refused."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="ledgerloom-ckpt-"))
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(shared or local_folder())
+
+
+@functools.cache
+def local_folder() -> str:
+    """A folder of this process, for sessions on one machine only; it goes when the process ends."""
+    import shutil
+    import tempfile
+
+    path = tempfile.mkdtemp(prefix="ledgerloom-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -44,18 +58,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-#: Bytes of input for each task of a Python stage, beyond the number that the session shuffles into.
-SPREAD_BYTES = 256 << 20
+#: Bytes of input for each task of a Python stage, beyond the number that the session shuffles into, and the most tasks.
+SPREAD_BYTES, SPREAD_TASKS = 256 << 20, 200_000
 
 
 def _input_bytes(df: DataFrame) -> int:
-    """Bytes of the tables and checkpoints below a plan, by Catalyst's statistics; unknown sizes count 0."""
+    """Bytes of the files below a plan after pruning of columns is left aside; what is no file has no size that can be trusted."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    total, known = 0, 1 << 60
-    for i in range(leaves.size()):
-        n = int(str(leaves.apply(i).stats().sizeInBytes()))
-        total += n if n < known else 0
-    return total
+    files = [leaves.apply(i) for i in range(leaves.size())]
+    return sum(int(str(x.stats().sizeInBytes())) for x in files if x.getClass().getSimpleName() == "LogicalRelation")
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -64,7 +75,8 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     For Python stages: their cost follows the rows, not the bytes by which adaptive execution merges
     small partitions, and it leaves a partitioning that names its number as it is.
     """
-    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), _input_bytes(df) // SPREAD_BYTES), *keys)
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(_input_bytes(df) // SPREAD_BYTES, SPREAD_TASKS))
+    return df.repartition(n, *keys)
 
 
 def widen(scan: DataFrame) -> DataFrame:
@@ -73,9 +85,17 @@ def widen(scan: DataFrame) -> DataFrame:
     return scan if scan._jdf.queryExecution().toRdd().getNumPartitions() >= cores else scan.repartition(cores)
 
 
+def shared_path(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared checkpoint folder; it is deleted when the driver ends."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{kind}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
 def write_out(df: DataFrame) -> DataFrame:
     """Materialise ``df`` as a table in the shared checkpoint folder; later reads take only the columns they need."""
-    ensure_checkpoint_dir(df.sparkSession)
-    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

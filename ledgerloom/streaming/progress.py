@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+
+from ledgerloom.session import shared_path
 from pyspark.sql import types as T
 
 EVENTS = T.StructType(
@@ -61,7 +61,7 @@ def drain(stream: DataFrame, mode: str = "complete", checkpoint: str | None = No
     names one; each batch is written under its id, so a batch that is run again replaces itself.
     """
     spark = stream.sparkSession
-    base = checkpoint or f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = checkpoint or shared_path(spark, "stream")
     out = f"{base}/out"
 
     def put(batch: DataFrame, epoch: int) -> None:
