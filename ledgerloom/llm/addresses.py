@@ -80,6 +80,16 @@ def _take(text: str, kinds: list[tuple[re.Pattern, str]]) -> tuple[str, str, str
     return "", "", text
 
 
+def _first_part(text: str) -> tuple[str, str, str]:
+    """A street without a kind that is known, or with a very short name: the first part that has a word ("Broadway", "Rue de Rivoli", "MG Road")."""
+    for m in re.finditer(r"[^,]+", text):
+        words = re.findall(r"[a-z0-9]+", m.group(0))
+        if any(w.isalpha() and len(w) >= 2 and w not in _PLAIN for w in words):
+            kind = next((k for k, abbrs in STREET.items() for a in [k, *abbrs.split("|")] if len(words) > 1 and a and words[-1] == a), "")
+            return "".join(words[:-1] if kind else words), kind, text[: m.start()] + " , " + text[m.end() :]
+    return "", "", text
+
+
 def parse_address(raw: str) -> tuple[str, str, str, str, str, str, list[str]]:
     """(number, street, kind of street, locality, kind of locality, postal code, other place names)."""
     s = plain(raw)
@@ -98,8 +108,9 @@ def parse_address(raw: str) -> tuple[str, str, str, str, str, str, list[str]]:
     if m is None:
         m = re.search(r"(?<![a-z0-9])(\d{1,4})\s*-?([a-z](?![a-z]))?(?![a-z0-9])", s)
     if m:
-        number = str(int(m.group(1))) + (m.group(2) or "").lower()
-        s = s[: m.start()] + " , " + s[m.end() :]
+        part = re.match(r"/\s?(\d{1,4})(?![\d/])", s[m.end() :]) if not m.group(2) else None  # "12/4" is a number of its own
+        number = str(int(m.group(1))) + (m.group(2) or "").lower() + (f"/{int(part.group(1))}" if part else "")
+        s = s[: m.start()] + " , " + s[m.end() + (part.end() if part else 0) :]
     s = _repair(re.sub(r"(?<=[a-z])-(?=[a-z])", "", s).replace(".", " . "))
     s = re.sub(r"\s*\.\s*", " ", s)
     # A landmark ends with its kind of place or at the next comma.
@@ -107,6 +118,8 @@ def parse_address(raw: str) -> tuple[str, str, str, str, str, str, list[str]]:
     s = re.sub(r"\s+", " ", s)
     street, kind, s = _take(s, _STREETS)
     locality, lkind, s = _take(s, _LOCALITIES)
+    if not street:
+        street, kind, s = _first_part(s)
     return number, street, kind, locality, lkind, pin, [w for w in re.findall(r"[a-z0-9]+", s) if len(w) >= 4 and w not in _PLAIN]
 
 
@@ -156,7 +169,7 @@ def location_parties(addresses: DataFrame) -> DataFrame:
     parsed = cut(distinct.mapInPandas(_parse_batches, _SCHEMA))
     usable = parsed.where((F.col("number") != "") & (F.col("street") != ""))
     parts = ["number", "street", "kind", "locality", "lkind", "pin", "rest"]
-    classes = cut(usable.groupBy("class_key").agg(*[F.first(c).alias(c) for c in parts]))
+    classes = cut(usable.groupBy("class_key").agg(F.min(F.struct(*parts)).alias("p")).select("class_key", "p.*"))
     n = classes.count()
 
     def to_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

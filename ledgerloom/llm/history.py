@@ -35,7 +35,6 @@ itself; ties do not matter, every pair that verifies is returned; empty tables g
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Iterator
 from datetime import date
 from functools import lru_cache
@@ -50,7 +49,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.names import compatible, parse_name
 from ledgerloom.llm.text import distance
 from ledgerloom.operators.timestamps import normalise_timestamps
-from ledgerloom.session import ensure_checkpoint_dir, spread
+from ledgerloom.session import shared_path, spread
 
 #: Edits that a field may be away; it is then cut into one segment more.
 EDITS = 2
@@ -254,9 +253,7 @@ def find_repeats(records: DataFrame, path: str) -> DataFrame:
 
 def batch_pairs(records: DataFrame, path: str | None = None) -> DataFrame:
     """All batches of ``records`` against all earlier ones; the index is kept in ``path``, else in the shared folder."""
-    if path is None:
-        ensure_checkpoint_dir(records.sparkSession)
-        path = f"{records.sparkSession.sparkContext.getCheckpointDir()}/segments-{uuid.uuid4().hex}"
+    path = path or shared_path(records.sparkSession, "segments")
     append_batch(records, path)
     return find_repeats(records, path)
 

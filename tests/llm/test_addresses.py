@@ -14,3 +14,9 @@ def test_pairs(spark):
 
 def test_parse():
     assert parse_address("U-171B, Vuthubhotas St., Chuchar Estate")[:4] == ("171b", "vuthubhotas", "street", "chuchar")
+
+
+def test_streets_without_a_known_kind(spark):
+    rows = ["12 Broadway, Springfield 560001", "12, Broadwya, Springfield - 560001", "5 Rue de Rivoli, Paris", "5, Rue de Rivolli, Paris", "12/4 MG Road, Pune 411001", "12/4, M.G. Rd., Pune - 411001", "12/5 MG Road, Pune 411001"]
+    got = {(r.address_a, r.address_b) for r in address_pairs(spark.createDataFrame([(a,) for a in rows], "address string")).collect()}
+    assert got == {tuple(sorted(rows[i : i + 2])) for i in (0, 2, 4)}
