@@ -23,6 +23,7 @@ document ids are separate documents.
 from __future__ import annotations
 
 import math
+import random
 import re
 from collections.abc import Iterator
 
@@ -264,9 +265,10 @@ def rated_sample(documents: DataFrame, labels: DataFrame) -> list[tuple[str, int
 
 def held_out_scores(rated: list[tuple[str, int]], levels: list[int]) -> list[tuple[float, float]]:
     """(expected level, rating) of every rated document by models that were trained on the other half of them."""
-    out = []
+    out, mixed = [], list(rated)
+    random.Random(42).shuffle(mixed)  # ids may tell the levels apart
     for part in (0, 1):
-        mine, others = rated[part::2], rated[1 - part :: 2]
+        mine, others = mixed[part::2], mixed[1 - part :: 2]
         if mine and others:
             models = train(others, levels)
             out += [(expected(levels, m[0]), float(r)) for m, (_, r) in zip(document_levels(models, [t for t, _ in mine]), mine) if m]
