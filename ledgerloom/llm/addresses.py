@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -61,14 +62,15 @@ _KIND_WORDS = sorted({w for t in (STREET, LOCALITY) for k, v in t.items() for a
 
 def _repair(text: str) -> str:
     """Kind words with a slip are brought to their form."""
-    def fix(m: re.Match) -> str:
-        w = m.group(0)
-        if len(w) < 4 or w in _KIND_WORDS:
-            return w
-        hits = [k for k in _KIND_WORDS if len(k) >= 4 and abs(len(k) - len(w)) <= 1 and k[0] == w[0] and distance(w, k, 1) <= 1]
-        return hits[0] if len(hits) == 1 else w
+    return re.sub(r"[a-z0-9]{4,}", lambda m: _kind_word(m.group(0)), text)
 
-    return re.sub(r"[a-z0-9]+", fix, text)
+
+@lru_cache(100_000)
+def _kind_word(w: str) -> str:
+    if w in _KIND_WORDS:
+        return w
+    hits = [k for k in _KIND_WORDS if abs(len(k) - len(w)) <= 1 and k[0] == w[0] and distance(w, k, 1) <= 1]
+    return hits[0] if len(hits) == 1 else w
 
 
 def _take(text: str, kinds: list[tuple[re.Pattern, str]]) -> tuple[str, str, str]:
@@ -177,7 +179,7 @@ def location_parties(addresses: DataFrame) -> DataFrame:
             out = [(k, num, g) for k, num, st in zip(pdf["class_key"], pdf["number"], pdf["street"]) for g in grams([st], GRAM)]
             yield pd.DataFrame(out, columns=["id", "number", "g"])
 
-    post = cut(classes.mapInPandas(to_grams, "id string, number string, g string"))
+    post = cut(spread(classes.select("class_key", "number", "street"), "class_key").mapInPandas(to_grams, "id string, number string, g string"))
     df = post.groupBy("g").agg(F.count("*").alias("df"))
     weighted = post.join(df, "g").withColumn("w", F.log(1 + F.lit(n) / F.col("df")))
     norms = weighted.groupBy("id").agg(F.sum(F.col("w") * F.col("w")).alias("norm2"), F.first("number").alias("number"), F.array_sort(F.collect_list(F.struct("df", "g", "w"))).alias("v"))

@@ -174,7 +174,13 @@ class Matcher:
             whole = self.squeezed.get("".join(bare))
             if whole and len(whole) == 1:
                 return next(iter(whole))
-            return self._nearest_written(re.sub(r"\s+", " ", plain(value)).strip(" ."))
+            nearest = self._nearest_written(re.sub(r"\s+", " ", plain(value)).strip(" ."))
+            if nearest:  # "squar feet" is a slip of a longer form, no mention of "feet"
+                return nearest
+            # A mention beside other words ("approx 5 kg bag"): the longest decides, between equally long ones none.
+            mentions = self._mentions([x for x in t if not x.isdigit()])
+            top = {r for n, r in mentions if n == mentions[0][0]}
+            return top.pop() if len(top) == 1 and mentions[0][0] > 3 else 0
         mentions = self._mentions(t)
         named = [(n, r) for n, r in mentions if n > 6]
         if named:
@@ -273,8 +279,9 @@ def canonical_rows(facts: DataFrame, lines: DataFrame, reference: DataFrame) ->
     ]
     out = None
     for df, name in sources:
-        known = [r[0] for r in reference.where(F.col("list_name") == name).select("canonical").limit(MAX_REFERENCE).collect()]
-        open_ = df.where(F.col("v").isNotNull() & (F.trim("v") != "") & ~F.col("v").isin(known)).distinct()
+        # ``map_values`` refuses a list beyond ``MAX_REFERENCE``, so the entries may be sent to the workers.
+        known = F.broadcast(reference.where(F.col("list_name") == name).select(F.col("canonical").alias("v")).distinct())
+        open_ = df.where(F.col("v").isNotNull() & (F.trim("v") != "")).join(known, "v", "left_anti").distinct()
         part = map_values(open_, "v", name, reference).select("job_id", "line_no", F.lit(name).alias("field_name"), "ref_id").distinct()
         out = part if out is None else out.union(part)
     return out

@@ -25,6 +25,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -75,6 +76,7 @@ _EXPAND = {abbr: word for word, abbrs in TRADE.items() for abbr in [word, *abbrs
 _WORDS = sorted(set(_EXPAND.values()), key=len)
 
 
+@lru_cache(100_000)
 def _trade_word(t: str, dotted: bool, last: bool) -> str | None:
     """The trade word that a token stands for: as listed, with a slip, or cut short."""
     if t in _EXPAND:

@@ -23,8 +23,11 @@ from pyspark.sql import functions as F
 
 from ledgerloom.session import cut
 
-#: Buckets of the two-level ranks.
-BUCKETS = 64
+#: Least number of buckets of the two-level ranks, and rows of the largest key for each of them.
+BUCKETS, BUCKET_ROWS = 64, 100_000
+
+#: Longest plan (rows) that is broadcast; beyond it the join is shuffled.
+BROADCAST_ROWS = 1_000_000
 
 #: Largest capacity that a plan is made for: the histogram and the plan are held by the driver.
 MAX_CAPACITY = 1 << 20
@@ -71,9 +74,9 @@ def plan_patterns(histogram: dict[int, int], capacities: list[int]) -> list[tupl
     return out
 
 
-def ranked(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+def ranked(df: DataFrame, key: str, order: list[str], buckets: int = BUCKETS) -> DataFrame:
     """Adds ``rank`` from 0 within ``key``, counted in hashed buckets so that no key is sorted in one task."""
-    df = df.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(BUCKETS)))
+    df = df.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(buckets)))
     counts = df.groupBy(key, "_b").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(key, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
@@ -106,5 +109,6 @@ def pack(sized: DataFrame, capacities: list[int], key: str = "doc_id") -> DataFr
             start[s] += n * times
         first += times
     plan = spark.createDataFrame(rows, "tokens bigint, lo bigint, hi bigint, per int, first bigint, capacity int")
-    placed = ranked(pieces, "tokens", [key, "piece"]).join(F.broadcast(plan), "tokens").where((F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
+    buckets = max(BUCKETS, max(histogram.values()) // BUCKET_ROWS)
+    placed = ranked(pieces, "tokens", [key, "piece"], buckets).join(F.broadcast(plan) if len(rows) <= BROADCAST_ROWS else plan, "tokens").where((F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
     return placed.select(key, "piece", "tokens", (F.col("first") + F.expr("(rank - lo) div per")).alias("container"), "capacity")

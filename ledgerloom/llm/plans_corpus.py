@@ -11,8 +11,15 @@ from ledgerloom.llm.tokens import with_tokens
 from ledgerloom.session import cut, table
 
 
+#: Most kinds of containers; a longer table is refused.
+MAX_KINDS = 1_000
+
+
 def _capacities(spark: SparkSession, sf_dir: str) -> list[tuple[str, int]]:
-    return [(r.container_kind, r.capacity_tokens) for r in table(spark, sf_dir, "containers").limit(1000).collect()]
+    kinds = table(spark, sf_dir, "containers").select("container_kind", "capacity_tokens").limit(MAX_KINDS + 1).collect()
+    if len(kinds) > MAX_KINDS:
+        raise ValueError(f"more than {MAX_KINDS} kinds of containers")
+    return sorted((r.container_kind, r.capacity_tokens) for r in kinds if r.capacity_tokens)
 
 
 def _sized(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
@@ -21,8 +28,10 @@ def _sized(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
 
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All texts into containers of all kinds jointly: one row per text or piece of a split text."""
-    kinds = spark.createDataFrame(_capacities(spark, sf_dir), "container_kind string, capacity int")
-    packed = pack(_sized(spark, sf_dir, "doc_id"), [c for _, c in _capacities(spark, sf_dir)])
+    held = _capacities(spark, sf_dir)
+    # Of several kinds with one capacity the first by name stands for all: a piece is placed once.
+    kinds = spark.createDataFrame([(k, c) for c, k in {c: k for k, c in reversed(held)}.items()], "container_kind string, capacity int")
+    packed = pack(_sized(spark, sf_dir, "doc_id"), [c for _, c in held])
     return packed.join(F.broadcast(kinds), "capacity").select("doc_id", "piece", "tokens", "container", "container_kind", "capacity")
 
 
@@ -62,5 +71,12 @@ def p9_tempered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(plan, mix_documents(sized, plan))
 
 
-QUERIES = {"p8_containers": p8_containers, "p8_each_kind": p8_each_kind, "p8_fill": p8_fill, "p9_documents": p9_documents, "p9_mix": p9_mix, "p9_tempered": p9_tempered}
+def p9_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares reached when weights are the sources' token shares raised to the power that gives the targets' entropy within the limits."""
+    sized = _sized(spark, sf_dir, "doc_id", "source")
+    plan = mix_plan(sized, table(spark, sf_dir, "mix_targets"), budget_share=1.0, by_entropy=True)
+    return mix_report(plan, mix_documents(sized, plan))
+
+
+QUERIES = {"p8_containers": p8_containers, "p8_each_kind": p8_each_kind, "p8_fill": p8_fill, "p9_documents": p9_documents, "p9_mix": p9_mix, "p9_tempered": p9_tempered, "p9_temperature": p9_temperature}
 SQL: dict[str, str] = {}

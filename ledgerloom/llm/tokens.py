@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.session import spread
+from ledgerloom.session import widen
 
 #: Folder with the vocabulary files; every node must have it.
 TOKENIZERS = "/opt/tokenizers"
@@ -44,4 +44,4 @@ def with_tokens(documents: DataFrame, folder: str = TOKENIZERS, keep: tuple[str,
             out["tokens"] = [count(enc, t) for t in pdf["text"]]
             yield out
 
-    return spread(documents.select(*keep, "text"), keep[0]).mapInPandas(run, schema)
+    return widen(documents.select(*keep, "text")).mapInPandas(run, schema)

@@ -24,3 +24,9 @@ def test_rows(spark):
     assert got == [("j", 0, "bank_name", 32), ("j", 1, "unit", 58), ("j", 4, "unit", 0)]
     assert canonical_rows(facts.limit(0), lines.limit(0), ref).count() == 0
     assert {r.ref_id for r in canonical_rows(facts, lines, ref.limit(0)).collect()} == {0}
+
+
+def test_units_beside_other_words():
+    m = Matcher("unit", UNITS)
+    for v, want in [("rate per metre", 63), ("100 sheets approx", 82), ("pieces or sheets", 0), ("sqare metres", 66)]:
+        assert m.match(v) == want, v

@@ -1,6 +1,7 @@
+import math
 import random
 
-from ledgerloom.llm.mixing import mix_documents, mix_plan, mix_report, tempered
+from ledgerloom.llm.mixing import mix_documents, mix_plan, mix_report, temperature, tempered
 from ledgerloom.llm.packing import pack, plan_patterns
 from ledgerloom.llm.reading import apply_isotonic, is_running, isotonic, reading_levels
 from ledgerloom.llm.tokens import TOKENIZERS, count, encoding, with_tokens
@@ -65,3 +66,35 @@ def test_isotonic():
     fit = [apply_isotonic(curve, v) for v in x]
     assert fit == sorted(fit) and fit[0] == 1 and fit[-1] == 5 and abs(fit[1] - 7 / 3) < 1e-9
     assert not is_running("n/a") and is_running("The man at the gate took the boxes.")
+
+
+def test_mixing_fills_past_a_document_that_does_not_fit(spark):
+    docs = spark.createDataFrame([(f"a{i}", "a", 1000 if i < 3 else 10) for i in range(60)] + [(f"b{i}", "b", 10) for i in range(100)], "doc_id string, source string, tokens bigint")
+    targets = spark.createDataFrame([(1, "a", 0.5, 1), (1, "b", 0.5, 1)], "mix_id int, source string, target_share double, max_repeats int")
+    plan = mix_plan(docs, targets)
+    got = mix_documents(docs, plan)
+    rep = {r.source: r for r in mix_report(plan, got).collect()}
+    assert abs(rep["a"].actual_share - 0.5) < 0.005 and rep["a"].most_copies == 1
+    assert got.select("order_key").distinct().count() > 60
+
+
+def test_temperature():
+    tokens, limit = {"a": 800, "b": 150, "c": 50, "gone": 0}, {"a": 9, "b": 9, "c": 9, "gone": 9}
+    flat = math.log(3)
+    w, a, _ = temperature(tokens, limit, flat, 100.0)
+    assert a == 0 and abs(w["a"] - 1 / 3) < 1e-9 and w["gone"] == 0
+    goal = 0.9
+    w, a, _ = temperature(tokens, limit, goal, 100.0)
+    assert 0 < a < 1 and abs(-sum(x * math.log(x) for x in w.values() if x) - goal) < 1e-6
+    w, a, budget = temperature(tokens, {"a": 1, "b": 1, "c": 2, "gone": 1}, flat, 1000.0)
+    assert a > 0.9 and budget * w["c"] <= 100 + 1e-6
+    assert temperature({"a": 0}, {"a": 1}, 0.5, 10.0)[0] == {"a": 0.0}
+
+
+def test_kinds_of_one_capacity_give_every_piece_once(spark, tmp_path):
+    from ledgerloom.llm.plans_corpus import p8_containers
+
+    spark.createDataFrame([(i, "word " * (i * 40 + 1)) for i in range(20)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("wide", 512), ("large", 512), ("small", 128)], "container_kind string, capacity_tokens int").write.parquet(f"{tmp_path}/containers.parquet")
+    rows = p8_containers(spark, str(tmp_path)).collect()
+    assert len({(r.doc_id, r.piece) for r in rows}) == len(rows) and {r.container_kind for r in rows} <= {"large", "small"}
