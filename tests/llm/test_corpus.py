@@ -69,7 +69,7 @@ def test_isotonic():
 
 
 def test_mixing_fills_past_a_document_that_does_not_fit(spark):
-    docs = spark.createDataFrame([(f"a{i}", "a", 1000 if i < 3 else 10) for i in range(60)] + [(f"b{i}", "b", 10) for i in range(100)], "doc_id string, source string, tokens bigint")
+    docs = spark.createDataFrame([(f"a{i}", "a", 1000 if i < 3 else 10) for i in range(300)] + [(f"b{i}", "b", 10) for i in range(100)], "doc_id string, source string, tokens bigint")
     targets = spark.createDataFrame([(1, "a", 0.5, 1), (1, "b", 0.5, 1)], "mix_id int, source string, target_share double, max_repeats int")
     plan = mix_plan(docs, targets)
     got = mix_documents(docs, plan)
