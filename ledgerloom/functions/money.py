@@ -25,14 +25,25 @@ def _below_hundred(n: Column) -> Column:
 
 
 def amount_words(amount: Column) -> Column:
-    """Whole rupees in words (crore, lakh, thousand, hundred); blank for null and amounts below 1, null from 100 crore."""
+    """Whole rupees in words (crore, lakh, thousand, hundred); blank for null and amounts below 1, null from 1,000 crore."""
     n = F.floor(amount).cast("bigint")
     parts = []
     for name, size in SCALES:
-        share = F.floor(n % (size * 100 if name != "Hundred" else 1000) / size).cast("bigint")
-        parts.append(F.when(share > 0, F.concat(_below_hundred(share), F.lit(f" {name}"))))
+        share = F.floor(n % (size * {"Crore": 1000, "Hundred": 10}.get(name, 100)) / size).cast("bigint")
+        words = F.trim(F.concat_ws(" ", F.when(share >= 100, F.concat(_below_hundred(F.floor(share / 100)), F.lit(" Hundred"))), _below_hundred(share % 100))) if name == "Crore" else _below_hundred(share)
+        parts.append(F.when(share > 0, F.concat(words, F.lit(f" {name}"))))
     parts.append(F.when(n % 100 > 0, _below_hundred(n % 100)))
-    return F.when(n >= 1_000_000_000, None).when(n >= 1, F.concat_ws(" ", *parts)).otherwise("")
+    return F.when(n >= 10_000_000_000, None).when(n >= 1, F.concat_ws(" ", *parts)).otherwise("")
+
+
+def amount_in_words(amount: Column) -> Column:
+    """An amount as a cheque has it: rupees and paise, blank for null, zero and negative amounts."""
+    paise = F.bround((amount - F.floor(amount)) * 100, 0).cast("bigint")
+    small = F.when(paise >= 100, F.lit("One Hundred")).otherwise(_below_hundred(paise))
+    whole = F.when(amount >= 1, F.concat(F.lit("Rupees "), amount_words(amount)))
+    pence = F.when(paise > 0, F.concat(F.when(amount >= 1, F.lit(" and ")).otherwise(F.lit("Rupees ")), small, F.lit(" Paise")))
+    said = F.concat(F.coalesce(whole, F.lit("")), F.coalesce(pence, F.lit("")))
+    return F.when(amount >= 10_000_000_000, None).when((amount > 0) & (said != ""), F.concat(said, F.lit(" Only"))).otherwise("")
 
 
 def close(a: Column, b: Column, absolute: float, relative: float) -> Column:

@@ -39,8 +39,9 @@ def clean_name(c: Column) -> Column:
 def numeric_candidates(c: Column) -> Column:
     """Readings of a damaged amount with confidence: as it stands, else with confused letters read as digits."""
     t = F.regexp_replace(c, r"(?i)rs\.?|inr|₹|,|\s", "")
-    plain = t.try_cast("double")
-    fixed = to_digits(t).try_cast("double")
+    # Checked by pattern: a cast alone takes exponents and words like "inf" as well.
+    number = lambda x: F.when(x.rlike(r"^[-+]?(\d+\.?\d*|\.\d+)$"), x).try_cast("double")
+    plain, fixed = number(t), number(to_digits(t))
     n = F.length(F.regexp_replace(t, r"[0-9.\-]", ""))
     return F.when(plain.isNotNull(), F.struct(plain.alias("value"), F.lit(0.95).alias("conf"))).when(fixed.isNotNull(), F.struct(fixed.alias("value"), F.greatest(F.lit(0.5), 0.9 - 0.1 * n).cast("double").alias("conf")))
 
@@ -78,10 +79,9 @@ def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def sequence_ratio(a: Column, b: Column) -> Column:
-    """Longest-matching-blocks ratio. Equal keys, containment and hopeless lengths never reach Python."""
+    """Longest-matching-blocks ratio of the texts' letters and digits; equal ones have 1."""
     x, y = alnum_key(a), alnum_key(b)
-    least, most = F.least(F.length(x), F.length(y)), F.greatest(F.length(x), F.length(y))
-    return F.when(x == y, 1.0).when(2.0 * least / (least + most) < 0.5, 0.0).otherwise(_ratio(x, y))
+    return F.when(x == y, 1.0).otherwise(_ratio(x, y))
 
 
 def fuzzy_equal(a: Column, b: Column, least: float = 0.8) -> Column:

@@ -89,13 +89,14 @@ def reading_order(lines: DataFrame, top: int = 380, middle: int = 500) -> DataFr
 
 
 def phrase_matches(tokens: DataFrame, phrases: list[str]) -> DataFrame:
-    """Occurrences of phrases of up to three words as runs of tokens on one page (case and punctuation aside)."""
+    """Occurrences of whole phrases as runs of tokens on one page (case and punctuation aside)."""
     clean = F.regexp_replace(F.lower("text"), "[^a-z0-9]", "")
     w = Window.partitionBy("doc_id", "page").orderBy("seq")
-    t = tokens.withColumn("w0", clean).withColumn("w1", F.lead("w0", 1).over(w)).withColumn("w2", F.lead("w0", 2).over(w))
+    split = {p: "".join(c if c.isalnum() else " " for c in p.lower()).split() for p in phrases}
+    longest = max(map(len, split.values()), default=1)
+    t = tokens.withColumn("w0", clean).withColumns({f"w{k}": F.lead(clean, k).over(w) for k in range(1, longest)})
     out = None
-    for p in phrases:
-        words = [x for x in "".join(c if c.isalnum() else " " for c in p.lower()).split() if x][:3]
+    for p, words in split.items():
         hit = F.col("w0") == words[0]
         for k, word in enumerate(words[1:], 1):
             hit = hit & (F.col(f"w{k}") == word)

@@ -20,10 +20,22 @@ def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> Dat
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
-def running_novelty(df: DataFrame, key: str, order: list[str], seen: int) -> DataFrame:
-    """How often a key came before, and whether it still counts as new."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("seen_before", F.count("*").over(w)).withColumn("is_novel", F.col("seen_before") < seen)
+def running_rank(df: DataFrame, key: str, time: str, tie: str, into: str) -> DataFrame:
+    """Adds ``into``: how many rows of the key came before, by ``time`` and then ``tie``.
+
+    Counted by hour first, so a key that holds a third of all rows is ranked in as many tasks as it has hours.
+    """
+    df = df.withColumn("_hour", F.date_trunc("hour", time))
+    counts = df.groupBy(key, "_hour").agg(F.count("*").alias("_n"))
+    ahead = Window.partitionBy(key).orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(key, "_hour", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"))
+    own = F.row_number().over(Window.partitionBy(key, "_hour").orderBy(time, tie)) - 1
+    return df.withColumn("_own", own).join(offsets, [key, "_hour"]).withColumn(into, F.col("_own") + F.col("_ahead")).drop("_hour", "_own", "_ahead")
+
+
+def running_novelty(df: DataFrame, key: str, time: str, tie: str, seen: int) -> DataFrame:
+    """How often a key came before, and whether it still counts as new; keys and times are filled."""
+    return running_rank(df, key, time, tie, "seen_before").withColumn("is_novel", F.col("seen_before") < seen)
 
 
 def round_robin(df: DataFrame, stratum: str, order: list[Column], n: int) -> DataFrame:

@@ -204,6 +204,28 @@ def shred(df: DataFrame, key: str, payload: str, plan: TablePlan, natural: dict[
     return df.select(key, payload).mapInPandas(run, f"`{key}` {kind}, {_ROW_SCHEMA}")
 
 
+def typed_tables(rows: DataFrame, key: str) -> dict[str, DataFrame]:
+    """The rows of ``shred`` as one table per element: its keys, and a column of its own type for every inlined attribute.
+
+    A column is boolean, bigint or double where all its values are, else string; names are paths with ``__`` for the dot.
+    Keys of the tables stay as they are: (``key``, ``row_key``) names a row, (``key``, ``parent_table``, ``parent_row``) its parent.
+    ``rows`` is read once for the columns (only their distinct names come to the driver, at most ``MAX_EDGES``) and once per table.
+    """
+    said = rows.select("table", F.explode(F.from_json("attributes", "map<string,string>")).alias("column", "v")).where("v IS NOT NULL")
+    whole, number, flag = (F.col("v").rlike(p) for p in (r"^-?\d{1,18}$", r"^-?\d+(\.\d+)?([eE][-+]?\d+)?$", "^(true|false)$"))
+    seen = said.groupBy("table", "column").agg(F.every(whole).alias("whole"), F.every(number).alias("number"), F.every(flag).alias("flag")).limit(MAX_EDGES + 1).collect()
+    if len(seen) > MAX_EDGES:
+        raise ValueError(f"more than {MAX_EDGES} columns: the payload uses data as keys")
+    out = {}
+    for name in sorted({r.table for r in seen} | {r[0] for r in rows.select("table").distinct().limit(MAX_EDGES).collect()}):
+        kinds = {r.column: "boolean" if r.flag else "bigint" if r.whole else "double" if r.number else "string" for r in seen if r.table == name}
+        own = rows.where(F.col("table") == name).withColumn("_a", F.from_json("attributes", "map<string,string>"))
+        taken = {key, "row_key", "parent_table", "parent_row", "owner", "pos"}
+        columns = [F.col("_a")[c].try_cast(k).alias(c.replace(".", "__") if c not in taken else f"{c}__") for c, k in sorted(kinds.items())]
+        out[name] = own.select(key, "row_key", "parent_table", "parent_row", "owner", "pos", *columns).dropDuplicates([key, "row_key"])
+    return out
+
+
 def unreadable(df: DataFrame, key: str, payload: str) -> DataFrame:
     """Keys of the payloads that are no complete JSON object."""
     return df.where(F.coalesce(F.schema_of_variant(F.try_parse_json(payload)), F.lit("")).startswith("OBJECT") == F.lit(False)).select(key).distinct()

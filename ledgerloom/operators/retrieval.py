@@ -17,14 +17,16 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(either == 0, 1.0).otherwise(both / either)
 
 
-def inverted_candidates(left: DataFrame, right: DataFrame, least: int) -> DataFrame:
-    """(id, other, hits): pairs that share at least ``least`` anchors, through an inverted index.
+def inverted_candidates(left: DataFrame, right: DataFrame, top: int) -> DataFrame:
+    """(id, other, hits): the ``top`` others that share most anchors with each id, through an inverted index.
 
     Both sides have (id, anchor), distinct. Anchors are short lists of a fixed vocabulary by nature;
-    the count is summed per pair before it is filtered.
+    hits are summed per pair before they are ranked. Ties go to the smaller other.
     """
     r = right.select(F.col("id").alias("other"), "anchor")
-    return left.join(r, "anchor").where(F.col("id") != F.col("other")).groupBy("id", "other").agg(F.count("*").alias("hits")).where(F.col("hits") >= least)
+    hits = left.join(r, "anchor").where(F.col("id") != F.col("other")).groupBy("id", "other").agg(F.count("*").alias("hits"))
+    w = Window.partitionBy("id").orderBy(F.desc("hits"), "other")
+    return hits.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= top).drop("_rn")
 
 
 def best_with_margin(df: DataFrame, key: list[str], score: str, tie: list[Column]) -> DataFrame:

@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Weight of a reading's source when values are merged by weighted confidence; 0.5 for any other source.
-SOURCE_WEIGHTS = {"tie_template": 1.10, "native_pdf": 1.00, "layoutlm": 0.85, "heuristic": 0.65, "paddleocr": 0.75, "trocr": 0.85, "easyocr": 0.65, "llm": 0.60}
+SOURCE_WEIGHTS = {
+    "tie_template": 1.10, "tie_fast_path": 1.10, "native_vector_geometry": 1.05, "native_vector_font_hierarchy": 1.05, "native_vector_buyer_block": 1.05, "native_vector_regex": 1.05, "native_vector_totals": 1.05, "native_pdf": 1.00, "layoutlm": 0.85,
+    "heuristic": 0.65, "heuristic_reconciled": 0.70, "paddleocr": 0.75, "trocr": 0.85, "handwriting_specializer": 0.85, "easyocr": 0.65, "llm": 0.60, "llm_unavailable": 0.00, "llm_error": 0.00,
+}
 
 
 def weight_of(source: Column) -> Column:

@@ -16,6 +16,7 @@ empty result. Extra columns are passed through; the operator's own columns are p
 
 from __future__ import annotations
 
+import math
 from datetime import datetime, timedelta, timezone
 from zoneinfo import ZoneInfo
 
@@ -28,8 +29,11 @@ from ledgerloom.session import cut
 #: Orders a text may be read in; ties between posteriors fall to the earlier one.
 ORDERS = ("DMY", "MDY", "YMD", "YDM")
 
-#: Weight of a source's declared order against the evidence in its values, per observed value.
-DECLARED_WEIGHT = 4.0
+#: Pseudo-counts of a source's declared order against the evidence in its values: a prior that enough values outweigh.
+DECLARED_COUNTS = 1_000.0
+
+#: Most time zones by name; the time-zone database has about 600.
+MAX_ZONES = 2_000
 
 #: EM stops at this change of any mixture weight, or after this many rounds.
 EM_TOLERANCE, EM_ROUNDS = 1e-9, 200
@@ -117,15 +121,16 @@ def _mask() -> Column:
     return F.concat(*[F.when(use & _valid(y, m, d), "1").otherwise("0") for use, y, m, d in _readings().values()])
 
 
-def _mixture(pdf: pd.DataFrame) -> pd.DataFrame:
+def _mixture(pdf: pd.DataFrame, counts: float = DECLARED_COUNTS) -> pd.DataFrame:
     """EM over the order mixture of one source; ``pdf`` has its counts by shape and valid parses."""
     declared = next((x for x in pdf["declared"] if isinstance(x, str) and x in ORDERS), None)
     out = []
     for shape, part in pdf.groupby("ts_shape"):
         total = float(part["n"].sum())
-        pseudo = [1e-3 + (DECLARED_WEIGHT * (total + 1) if o == declared else 0.0) for o in ORDERS]
+        prior = min(counts, 4.0 * (total + 1))
+        pseudo = [1e-3 + (prior if o == declared else 0.0) for o in ORDERS]
         # A year that stands first leaves day and month; day-first sources still write month first there.
-        pseudo[2] += DECLARED_WEIGHT * (total + 1) if shape in ("y_first", "compact") else 0.0
+        pseudo[2] += prior if shape in ("y_first", "compact") else 0.0
         w = [p / sum(pseudo) for p in pseudo]
         rows = [([int(x) for x in m], float(n)) for m, n in zip(part["ts_mask"], part["n"])]
         for _ in range(EM_ROUNDS):
@@ -152,7 +157,7 @@ def _mixture(pdf: pd.DataFrame) -> pd.DataFrame:
 _MIXTURE_SCHEMA = "ts_source string, ts_shape string, ts_mask string, ts_order string, ts_posterior double, ts_tied boolean"
 
 
-def order_posteriors(dissected: DataFrame, source: str, date_order: str) -> DataFrame:
+def order_posteriors(dissected: DataFrame, source: str, date_order: str, declared_counts: float = DECLARED_COUNTS) -> DataFrame:
     """Per (source, shape, set of valid parses): the order chosen, its posterior, whether it is tied.
 
     Counts are aggregated before the per-source step, so a group there has at most
@@ -162,7 +167,7 @@ def order_posteriors(dissected: DataFrame, source: str, date_order: str) -> Data
         dissected.groupBy(F.coalesce(F.col(source).cast("string"), F.lit("")).alias("ts_source"), "ts_shape", "ts_mask")
         .agg(F.count("*").alias("n"), F.max(date_order).alias("declared"))
     )
-    return counts.groupBy("ts_source").applyInPandas(_mixture, _MIXTURE_SCHEMA)
+    return counts.groupBy("ts_source").applyInPandas(lambda pdf: _mixture(pdf, declared_counts), _MIXTURE_SCHEMA)
 
 
 def zone_letters(zones: list[str]) -> list[tuple[str, str, int]]:
@@ -182,23 +187,27 @@ def zone_letters(zones: list[str]) -> list[tuple[str, str, int]]:
     return rows
 
 
-def normalise_timestamps(df: DataFrame, value: str, source: str, zone: str, date_order: str, zones: DataFrame | None = None) -> DataFrame:
+def normalise_timestamps(df: DataFrame, value: str, source: str, zone: str, date_order: str, zones: DataFrame | None = None, declared_counts: float = DECLARED_COUNTS) -> DataFrame:
     """Adds ``ts_normal`` (``YYYY-MM-DD`` or ``...T...Z``), ``ts_status``, ``ts_order`` and ``ts_posterior``.
 
     ``source`` names the column that identifies who wrote the value; ``zone`` and ``date_order`` hold
     the IANA zone and the declared order of that source (either may be null). ``zones`` is a dimension
     table with the column ``zone``, where there is one; without it the values' own zones are listed.
+    ``declared_counts`` is the weight of the declared order in values; without bound (``math.inf``) it decides
+    wherever it gives a date.
     """
     spark = df.sparkSession
     zone_names = df if zones is None else zones
     df = dissect(df, value).withColumn("ts_mask", _mask())
-    post = cut(order_posteriors(df, source, date_order))
+    post = cut(order_posteriors(df, source, date_order, declared_counts))
     small = post.count() <= BROADCAST_ROWS
     df = df.withColumn("ts_source", F.coalesce(F.col(source).cast("string"), F.lit("")))
     df = df.join(F.broadcast(post) if small else post, ["ts_source", "ts_shape", "ts_mask"], "left")
 
     # Distinct zones are bounded by the time-zone database (about 600 names).
-    zones = sorted(r[0] for r in zone_names.select(zone).where(F.col(zone).isNotNull()).distinct().limit(1000).collect())
+    zones = sorted(r[0] for r in zone_names.select(zone).where(F.col(zone).isNotNull()).distinct().limit(MAX_ZONES + 1).collect())
+    if len(zones) > MAX_ZONES:
+        raise ValueError(f"more than {MAX_ZONES} names of time zones")
     letters = spark.createDataFrame(zone_letters(zones) + [("", k, v) for k, v in EXTRA_LETTERS.items()], "ts_zone string, ts_letters string, ts_minutes int")
     known = F.when(F.col(zone).isin(zones) if zones else F.lit(False), F.col(zone)).otherwise("")
     df = df.withColumn("ts_zone", known).withColumn("ts_letters", F.upper(F.trim(F.translate(F.col("ts_time")[6], "[]()", ""))))
@@ -254,13 +263,22 @@ def normalise_timestamps(df: DataFrame, value: str, source: str, zone: str, date
     return df.drop("ts_t", "ts_d", "ts_shape", "ts_a", "ts_b", "ts_c", "ts_time", "ts_mask", "ts_source", "ts_tied", "ts_zone", "ts_letters", "ts_minutes", "ts_micros", "ts_day", "ts_y", "ts_m", "ts_dd", "ts_z", "ts_suffix", "ts_hour", "ts_stamp")
 
 
-def invoice_dates(facts: DataFrame, sites: DataFrame) -> DataFrame:
-    """(job_id, field_name, normal_form) for every invoice and due date that holds an existing date."""
+def read_dates(facts: DataFrame, sites: DataFrame, declared: bool = True) -> DataFrame:
+    """(job_id, field_name, raw, ts_normal, ts_status, ts_order, ts_posterior) of every filled invoice and due date.
+
+    ``declared`` takes a site's date order as given; else only the values of the site speak for an order.
+    """
     long = facts.select("job_id", "site_id", F.explode(F.create_map(F.lit("invoice_date"), F.col("invoice_date"), F.lit("due_date"), F.col("due_date"))).alias("field_name", "raw"))
     long = long.where(F.trim("raw") != "").distinct()
     # intake_sites is a fixed dimension of ten rows.
     long = long.join(F.broadcast(sites.select("site_id", "time_zone", "date_order")), "site_id", "left")
-    out = normalise_timestamps(long, "raw", "site_id", "time_zone", "date_order", zones=sites)
+    long = long if declared else long.withColumn("date_order", F.lit(None).cast("string"))
+    return normalise_timestamps(long, "raw", "site_id", "time_zone", "date_order", zones=sites, declared_counts=math.inf)
+
+
+def invoice_dates(facts: DataFrame, sites: DataFrame) -> DataFrame:
+    """(job_id, field_name, normal_form) for every invoice and due date that holds an existing date."""
+    out = read_dates(facts, sites)
     # explode, not a filter: a filter would be pushed through the projections and repeat their expressions.
     kept = F.explode(F.array_compact(F.array("ts_normal"))).alias("normal_form")
     return out.select("job_id", "field_name", kept).distinct()

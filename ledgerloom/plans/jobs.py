@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.lifecycle import first_by_hash, hash_split, latest, page, record_diff, round_robin, running_novelty
+from ledgerloom.operators.lifecycle import first_by_hash, hash_split, latest, page, record_diff, round_robin, running_novelty, running_rank
 from ledgerloom.operators.retrieval import best_with_margin
 from ledgerloom.session import table
 
@@ -89,18 +89,15 @@ def family_get_or_create(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT pipeline_version, document_hash, dense_rank() OVER (PARTITION BY pipeline_version ORDER BY first_seen, document_hash) AS version_num FROM (SELECT pipeline_version, document_hash, min(created_at) AS first_seen FROM extraction_runs WHERE document_hash IS NOT NULL GROUP BY 1, 2) WHERE pipeline_version IS NOT NULL")
 def version_numbering(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
     runs = table(spark, d, "extraction_runs", ["pipeline_version", "document_hash", "created_at"]).where("document_hash IS NOT NULL AND pipeline_version IS NOT NULL")
     first = runs.groupBy("pipeline_version", "document_hash").agg(F.min("created_at").alias("first_seen"))
-    w = Window.partitionBy("pipeline_version").orderBy("first_seen", "document_hash")
-    return first.select("pipeline_version", "document_hash", F.dense_rank().over(w).alias("version_num"))
+    return running_rank(first, "pipeline_version", "first_seen", "document_hash", "before").select("pipeline_version", "document_hash", (F.col("before") + 1).alias("version_num"))
 
 
 @query(f"SELECT job_id, template_family_id, seen_before, seen_before < 3 AS is_novel FROM (SELECT job_id, template_family_id, count(*) OVER (PARTITION BY template_family_id ORDER BY created_at, job_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen_before FROM {_JOBS} WHERE template_family_id IS NOT NULL)")
 def novelty_running(spark: SparkSession, d: str) -> DataFrame:
     df = jobs(spark, d, ["template_family_id", "created_at"]).where("template_family_id IS NOT NULL")
-    return running_novelty(df, "template_family_id", ["created_at", "job_id"], 3).select("job_id", "template_family_id", "seen_before", "is_novel")
+    return running_novelty(df, "template_family_id", "created_at", "job_id", 3).select("job_id", "template_family_id", "seen_before", "is_novel")
 
 
 @query(f"SELECT template_family_id, count(*) FILTER (WHERE ground_truth_source = 'human_corrected') AS corrections, count(*) AS reviewed, round(greatest(0, 1 - count(*) FILTER (WHERE ground_truth_source = 'human_corrected') / count(*)), 6) AS accuracy FROM {_JOBS} WHERE template_family_id IS NOT NULL GROUP BY 1")

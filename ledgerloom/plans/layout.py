@@ -76,10 +76,9 @@ def line_gap_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""SELECT doc_id, page, block_no, count(*) AS n_lines, min(y1) AS y1, max(y2) AS y2 FROM (SELECT *, CAST(sum(s) OVER (PARTITION BY doc_id, page ORDER BY y1, line_no) AS INT) AS block_no FROM (
-SELECT *, coalesce(CAST((y1 - lag(y2) OVER w < 0) OR (y1 - lag(y2) OVER w > 0.2 * (lag(y2) OVER w - lag(y1) OVER w)) AS INT), 0) AS s FROM {_LINES} WHERE length(line) > 40 WINDOW w AS (PARTITION BY doc_id, page ORDER BY y1, line_no))) GROUP BY 1, 2, 3""")
+SELECT *, coalesce(CAST((y1 - lag(y2) OVER w < 0) OR (y1 - lag(y2) OVER w > 0.2 * (lag(y2) OVER w - lag(y1) OVER w)) AS INT), 0) AS s FROM {_LINES} WINDOW w AS (PARTITION BY doc_id, page ORDER BY y1, line_no))) GROUP BY 1, 2, 3""")
 def block_cluster(spark: SparkSession, d: str) -> DataFrame:
-    long = layout.line_boxes(tokens(spark, d)).where(F.length("line") > 40)
-    return layout.blocks(long, 0.2).groupBy("doc_id", "page", "block_no").agg(F.count("*").alias("n_lines"), F.min("y1").alias("y1"), F.max("y2").alias("y2"))
+    return layout.blocks(layout.line_boxes(tokens(spark, d)), 0.2).groupBy("doc_id", "page", "block_no").agg(F.count("*").alias("n_lines"), F.min("y1").alias("y1"), F.max("y2").alias("y2"))
 
 
 @query(f"SELECT doc_id, page, line_no, reading_rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY CASE WHEN y2 <= 380 THEN 0 ELSE 1 END, CASE WHEN y2 <= 380 AND x1 >= 500 THEN 1 ELSE 0 END, y1, x1, line_no) AS reading_rank FROM {_LINES})")
@@ -112,12 +111,13 @@ def fingerprints(spark: SparkSession, d: str) -> DataFrame:
 _FAMILY = "SELECT template_family_id AS id, list_sort(list(DISTINCT field_name || ':' || CAST(page AS VARCHAR))) AS s FROM extracted_fields WHERE template_family_id IS NOT NULL GROUP BY 1"
 
 
-@query("""WITH a AS (SELECT DISTINCT template_family_id AS id, source || ':' || field_name AS anchor FROM extracted_fields WHERE template_family_id IS NOT NULL AND selection_reason IS NOT NULL)
-SELECT x.id, y.id AS other, count(*) AS hits FROM a x JOIN a y ON x.anchor = y.anchor AND x.id <> y.id GROUP BY 1, 2 HAVING count(*) >= 4""")
+@query("""WITH a AS (SELECT DISTINCT template_family_id AS id, source || ':' || field_name || ':' || CAST(page AS VARCHAR) AS anchor FROM extracted_fields WHERE template_family_id IS NOT NULL)
+SELECT id, other, hits FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY hits DESC, other) AS rn FROM (SELECT x.id, y.id AS other, count(*) AS hits FROM a x JOIN a y ON x.anchor = y.anchor AND x.id <> y.id GROUP BY 1, 2)) WHERE rn <= 30""")
 def inverted_index_candidates(spark: SparkSession, d: str) -> DataFrame:
-    f = table(spark, d, "extracted_fields", ["template_family_id", "field_name", "source", "selection_reason"]).where("template_family_id IS NOT NULL AND selection_reason IS NOT NULL")
-    a = f.select(F.col("template_family_id").alias("id"), F.concat_ws(":", "source", "field_name").alias("anchor")).distinct()
-    return inverted_candidates(a, a, 4)
+    """The 30 families that share most anchors with each family (the cut of the retrieval)."""
+    f = table(spark, d, "extracted_fields", ["template_family_id", "field_name", "source", "page"]).where("template_family_id IS NOT NULL")
+    a = f.select(F.col("template_family_id").alias("id"), F.concat(F.col("source"), F.lit(":"), F.col("field_name"), F.lit(":"), F.col("page")).alias("anchor")).where("anchor IS NOT NULL").distinct()
+    return inverted_candidates(a, a, 30)
 
 
 @query("""WITH w AS (SELECT doc_id, list_distinct(string_split(regexp_replace(lower(trim(text, ' ')), '[^a-z]+', ' ', 'g'), ' ')) AS s, template_family_id FROM documents WHERE template_family_id IS NOT NULL AND trim(text, ' ') <> ''),

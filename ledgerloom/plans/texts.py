@@ -49,9 +49,13 @@ _N = "regexp_replace(value, '(?i)rs\\.?|inr|₹|,|\\s', '', 'g')"
 _D = f"translate(upper({_N}), 'OQDILZSBG', '000112586')"
 
 
-@query(f"SELECT reading_id, value, coalesce(try_cast({_N} AS DOUBLE), try_cast({_D} AS DOUBLE)) AS amount, round(CASE WHEN try_cast({_N} AS DOUBLE) IS NOT NULL THEN 0.95 WHEN try_cast({_D} AS DOUBLE) IS NOT NULL THEN greatest(0.5, 0.9 - 0.1 * length(regexp_replace({_N}, '[0-9.\\-]', '', 'g'))) END, 6) AS conf FROM {_FIELDS} WHERE field_name = 'grand_total' AND value IS NOT NULL AND NOT regexp_matches(lower(value), 'nan|inf|e|_')")
+_NUM = "CASE WHEN regexp_matches({x}, '^[-+]?([0-9]+\\.?[0-9]*|\\.[0-9]+)$') THEN try_cast({x} AS DOUBLE) END"
+
+
+@query(f"SELECT reading_id, value, coalesce(p, f) AS amount, round(CASE WHEN p IS NOT NULL THEN 0.95 WHEN f IS NOT NULL THEN greatest(0.5, 0.9 - 0.1 * length(regexp_replace({_N}, '[0-9.\\-]', '', 'g'))) END, 6) AS conf FROM (SELECT *, {_NUM.format(x=_N)} AS p, {_NUM.format(x=_D)} AS f FROM {_FIELDS} WHERE value IS NOT NULL)")
 def numeric_correct(spark: SparkSession, d: str) -> DataFrame:
-    r = readings(spark, d).where("field_name = 'grand_total' AND value IS NOT NULL AND NOT lower(value) RLIKE 'nan|inf|e|_'")
+    """Every reading as a number, as it stands or with confused letters read as digits."""
+    r = readings(spark, d).where("value IS NOT NULL")
     return r.select("reading_id", "value", text.numeric_candidates(F.col("value")).alias("c")).select("reading_id", "value", F.col("c.value").alias("amount"), F.round("c.conf", 6).alias("conf"))
 
 

@@ -24,7 +24,7 @@ def test_scan_reads_only_what_it_needs(spark):
 
 
 def test_filters_reach_the_scan(spark):
-    assert "PushedFilters: [IsNotNull(template_family_id)" in plan(entry.queries()["version_numbering"](spark, SF)).replace("IsNotNull(document_hash), IsNotNull(pipeline_version)", "IsNotNull(template_family_id)")
+    assert "PushedFilters: [IsNotNull(document_hash), IsNotNull(pipeline_version)]" in plan(entry.queries()["version_numbering"](spark, SF))
     assert "EqualTo(field_name,grand_total)" in plan(entry.queries()["currency_parse"](spark, SF))
 
 
