@@ -34,6 +34,7 @@ itself; ties do not matter, every pair that verifies is returned; empty tables g
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from datetime import date
@@ -188,7 +189,7 @@ def prepare(facts: DataFrame, sites: DataFrame) -> DataFrame:
     """One record per job with the comparable forms of its fields; ``day`` is the invoice date's UTC day."""
     once = facts.groupBy("job_id").agg(F.min(F.struct(*[c for c in facts.columns if c != "job_id"])).alias("r")).select("job_id", "r.*")
     once = once.join(F.broadcast(sites.select("site_id", "time_zone", "date_order")), "site_id", "left")
-    dated = normalise_timestamps(once, "invoice_date", "site_id", "time_zone", "date_order", zones=sites)
+    dated = normalise_timestamps(once, "invoice_date", "site_id", "time_zone", "date_order", zones=sites, declared_counts=math.inf)
     cols = ["job_id", "batch_no", "status", "invoice_number", "vendor_gstin", "grand_total", "buyer_name", "vendor_name", "ts_normal"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
