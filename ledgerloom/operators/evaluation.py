@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerloom.functions.cleaning import clean_amount, close_variant, eval_key
 
@@ -66,7 +67,7 @@ def accounting_triples(candidates: DataFrame) -> DataFrame:
     return best.select("job_id", "t.*")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def word_error_rate(typed: pd.Series, right: pd.Series) -> pd.Series:
     """Edits between words over the words of the right text, at most 1; two empty texts have none."""
 
