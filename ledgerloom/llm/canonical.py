@@ -7,9 +7,9 @@ token of the value takes its best partner among an entry's tokens (slips, lookal
 abbreviations), and the entry with the highest share of matched length wins if it passes
 ``MIN_SIMILARITY`` and leads the next one by ``MIN_LEAD``.
 
-The work is map-only: the reference list (at most ``MAX_REFERENCE`` rows, checked) goes to the workers,
-every row is mapped where it stands, and a bounded cache keeps repeated values cheap, so one value
-that fills a third of all rows costs nothing extra. Defined results: null and blank values give no
+Every distinct value is mapped once, by workers that hold the reference list (at most ``MAX_REFERENCE`` rows,
+checked); the answers are joined back to the rows by a broadcast where they are few (``BROADCAST_VALUES``, checked),
+so one value that fills a third of all rows costs nothing extra, else by value, where adaptive execution splits hot ones. Defined results: null and blank values give no
 row, values equal to a canonical entry are not reported by ``canonical_rows``, ties go to 0 (unmatched),
 an empty reference list leaves everything unmatched, empty tables give empty results.
 """
@@ -26,12 +26,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.text import distance, plain, sounds_like
+from ledgerloom.session import cut, spread
 
 MIN_SIMILARITY, MIN_LEAD = 0.72, 0.04
 
 #: The list is held by every worker; a longer one is refused.
 MAX_REFERENCE = 100_000
 
+#: Distinct values whose answers are broadcast; more are joined by a shuffle.
+BROADCAST_VALUES = 500_000
+
 CACHE = 200_000
 
 # Usual ways to write units of quantity, by the code of the unit.
@@ -260,14 +264,17 @@ def map_values(df: DataFrame, value: str, list_name: str, reference: DataFrame,
         raise ValueError(f"list {list_name} has more than {MAX_REFERENCE} entries")
     held: list[Matcher] = []
 
-    @F.pandas_udf("int")
-    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if not held:
             held.append(Matcher(list_name, entries))
-        for s in batches:
-            yield s.map(lambda v: held[0].match(v) if isinstance(v, str) else 0).astype("int32")
-
-    return df.withColumn(into, find(F.col(value)))
+        for pdf in batches:
+            yield pd.DataFrame({"_v": pdf["_v"], into: pdf["_v"].map(held[0].match).astype("int32")})
+
+    values = spread(df.select(F.col(value).alias("_v")).where(F.col(value).isNotNull()).distinct(), "_v")
+    mapped = cut(values.mapInPandas(find, f"_v string, `{into}` int"))
+    small = mapped.count() <= BROADCAST_VALUES
+    out = df.join(F.broadcast(mapped) if small else mapped, df[value] == mapped["_v"], "left").drop("_v")
+    return out.withColumn(into, F.coalesce(into, F.lit(0)))
 
 
 def canonical_rows(facts: DataFrame, lines: DataFrame, reference: DataFrame) -> DataFrame:
