@@ -270,7 +270,8 @@ def map_values(df: DataFrame, value: str, list_name: str, reference: DataFrame,
         for pdf in batches:
             yield pd.DataFrame({"_v": pdf["_v"], into: pdf["_v"].map(held[0].match).astype("int32")})
 
-    values = spread(df.select(F.col(value).alias("_v")).where(F.col(value).isNotNull()).distinct(), "_v")
+    # By a key of its own: values that are already distinct would be taken as placed and merged into one task.
+    values = spread(df.select(F.col(value).alias("_v")).where(F.col(value).isNotNull()).distinct().withColumn("_h", F.xxhash64("_v")), "_h")
     mapped = cut(values.mapInPandas(find, f"_v string, `{into}` int"))
     small = mapped.count() <= BROADCAST_VALUES
     out = df.join(F.broadcast(mapped) if small else mapped, df[value] == mapped["_v"], "left").drop("_v")
