@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,9 +33,6 @@ BISECTIONS, MAX_TARGETS = 60, 100_000
 #: Documents of a source for each bucket of its prefix sums; buckets are the leading bits of a hash, at least 8 of them.
 BUCKET_ROWS = 50_000
 
-#: Most (mix, source, size) rows that the last fill looks at on the driver; a larger remainder is left as it is.
-MAX_FILL = 5_000_000
-
 
 def tempered(target: dict[str, float], tokens: dict[str, int], limit: dict[str, int], budget: float | None) -> tuple[dict[str, float], float, float]:
     """(weights, exponent, budget) of one mix; sources without tokens have weight 0."""
@@ -122,26 +120,31 @@ def mix_plan(sized: DataFrame, targets: DataFrame, budget_share: float | None =
     return sized.sparkSession.createDataFrame(rows, "mix_id int, source string, target_share double, max_repeats int, available bigint, exponent double, wanted double")
 
 
-def fill_rest(left: dict[tuple, int], sizes: list[tuple]) -> dict[tuple, int]:
-    """(mix, source, size) -> documents to take, largest sizes first, so that what is ``left`` of each budget is filled.
+def fill_rest(left: int, sizes: list[tuple[int, int]]) -> dict[int, int]:
+    """size -> documents to take, largest sizes first, so that what is ``left`` of a source's budget is filled.
 
-    ``sizes`` has (mix, source, size, documents) of the documents that are still free.
+    ``sizes`` has (size, documents) of the documents that are still free.
     """
-    take: dict[tuple, int] = {}
-    for mix, source, size, n in sorted(sizes, key=lambda r: -r[2]):
-        k = min(n, left.get((mix, source), 0) // size)
+    take: dict[int, int] = {}
+    for size, n in sorted(sizes, reverse=True):
+        k = min(n, left // size)
         if k > 0:
-            take[(mix, source, size)] = k
-            left[(mix, source)] -= k * size
+            take[size] = k
+            left -= k * size
     return take
 
 
+def _fill_group(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The fill of one source of one mix: a row for each size. Sizes differ, so they are few beside the tokens they sum to."""
+    take = fill_rest(int(pdf["left"].iloc[0]), list(zip(pdf["tokens"].tolist(), pdf["n"].tolist())))
+    return pd.DataFrame([(pdf["mix_id"].iloc[0], pdf["source"].iloc[0], size, k) for size, k in take.items()], columns=["mix_id", "source", "tokens", "take"])
+
+
 def mix_documents(sized: DataFrame, plan: DataFrame) -> DataFrame:
     """(mix_id, source, doc_id, tokens, copies, order_key): how often each document enters each mix.
 
     Copy k of a source's documents forms its k-th block, in the order of ``order_key``.
     """
-    spark = sized.sparkSession
     lines = plan.where((F.col("available") > 0) & (F.col("wanted") > 0)).select("mix_id", "source", "available", "wanted", "max_repeats")
     docs = sized.where(F.col("tokens") > 0).join(F.broadcast(lines), "source")
     whole = F.floor(F.col("wanted") / F.col("available") + 1e-9)
@@ -161,14 +164,12 @@ def mix_documents(sized: DataFrame, plan: DataFrame) -> DataFrame:
     # The block goes on past the first document that does not fit: what is left takes free documents that do, the largest first.
     used = run.groupBy("mix_id", "source").agg((F.floor(F.max("rest") + 0.5) - F.sum(F.col("tokens") * F.col("extra"))).cast("bigint").alias("left")).where("left > 0")
     open_ = run.where(F.col("may") & (F.col("extra") == 0)).join(F.broadcast(used), ["mix_id", "source"]).where(F.col("tokens") <= F.col("left"))
-    sizes = open_.groupBy("mix_id", "source", "tokens").agg(F.count("*").alias("n")).limit(MAX_FILL + 1).collect()
-    more = fill_rest({(r.mix_id, r.source): r.left for r in used.collect()}, [tuple(r) for r in sizes]) if len(sizes) <= MAX_FILL else {}
-    if more:
-        few = spark.createDataFrame([(*k, n) for k, n in more.items()], "mix_id int, source string, tokens bigint, take bigint")
-        # Only documents of the sizes that are wanted are ranked, in hashed buckets.
-        named = open_.join(F.broadcast(few), ["mix_id", "source", "tokens"]).withColumn("_k", F.struct("mix_id", "source", "tokens"))
-        extras = ranked(named, "_k", ["h", "doc_id"]).where(F.col("rank") < F.col("take")).select("mix_id", "source", "h", "doc_id", F.lit(1).alias("filled"))
-        run = run.join(extras, ["mix_id", "source", "h", "doc_id"], "left").withColumn("extra", F.col("extra") + F.coalesce("filled", F.lit(0)))
+    sizes = open_.groupBy("mix_id", "source", "tokens").agg(F.count("*").alias("n"), F.first("left").alias("left"))
+    few = cut(sizes.groupBy("mix_id", "source").applyInPandas(_fill_group, "mix_id int, source string, tokens bigint, take bigint"))
+    # Only documents of the sizes that are wanted are ranked, in hashed buckets.
+    named = open_.join(few, ["mix_id", "source", "tokens"]).withColumn("_k", F.struct("mix_id", "source", "tokens"))
+    extras = ranked(named, "_k", ["h", "doc_id"]).where(F.col("rank") < F.col("take")).select("mix_id", "source", "h", "doc_id", F.lit(1).alias("filled"))
+    run = run.join(extras, ["mix_id", "source", "h", "doc_id"], "left").withColumn("extra", F.col("extra") + F.coalesce("filled", F.lit(0)))
     return run.select("mix_id", "source", "doc_id", "tokens", (F.col("whole") + F.col("extra")).cast("int").alias("copies"), F.col("h").alias("order_key")).where("copies > 0")
 
 

@@ -98,3 +98,15 @@ def test_kinds_of_one_capacity_give_every_piece_once(spark, tmp_path):
     spark.createDataFrame([("wide", 512), ("large", 512), ("small", 128)], "container_kind string, capacity_tokens int").write.parquet(f"{tmp_path}/containers.parquet")
     rows = p8_containers(spark, str(tmp_path)).collect()
     assert len({(r.doc_id, r.piece) for r in rows}) == len(rows) and {r.container_kind for r in rows} <= {"large", "small"}
+
+
+def test_mixing_fills_whatever_the_number_of_sizes(spark, monkeypatch):
+    from ledgerloom.llm import mixing
+
+    docs = spark.createDataFrame([(f"a{i}", "a", 1000 if i < 3 else 10 + i % 7) for i in range(300)] + [(f"b{i}", "b", 10) for i in range(100)], "doc_id string, source string, tokens bigint")
+    targets = spark.createDataFrame([(1, "a", 0.5, 1), (1, "b", 0.5, 1)], "mix_id int, source string, target_share double, max_repeats int")
+    plan = mix_plan(docs, targets)
+    whole = sorted(mix_documents(docs, plan).collect())
+    monkeypatch.setattr(mixing, "MAX_FILL", 1, raising=False)
+    assert sorted(mix_documents(docs, plan).collect()) == whole
+    assert abs(sum(r.tokens * r.copies for r in whole if r.source == "a") - 1000) < 10
