@@ -2,14 +2,13 @@
 
 Every distinct string is parsed into house number, street, kind of street, locality, town and postal
 code; abbreviations are written out and parts may stand in any order or be missing. Strings with the
-same parse form one class. Classes become weighted character n-gram vectors of their street's name; a
-prefix-filtered inverted index, keyed by house number and gram, gives the candidates (a location has
-one number, so different numbers can never meet and no posting grows with the corpus alone). Streets
-within the edit bounds also meet by what is left of them without one or two characters, since the
-grams of a slip weigh more the larger the table is. Candidates are verified by the parts: streets alike up to slips, no contradiction in
-kind of street, town, postal code or locality, and at least one of the last three in common unless
-one side names none of them. Verified links are split by average linkage over the cosine of the whole
-vectors, as for names; a verified link counts as ``MIN_COSINE`` at least.
+same parse form one class. Candidates have one house number (a location has one number, so different
+numbers can never meet) and streets that are equal or within the edit bounds: streets of one number meet
+by what is left of them without one or two characters. They are verified by the parts: streets alike up to
+slips, no contradiction in kind of street, town, postal code or locality, and at least one of the last
+three in common unless one side names none of them. Verified links are split by average linkage over the
+cosine of the weighted character n-gram vectors of their streets' names, as for names; a verified link counts
+as ``MIN_COSINE`` at least. Nothing that verifies has streets that are not alike, so an index of the grams finds no pair more.
 
 Defined results: null, blank and number-less strings denote no location and give no row; "7" and "7A"
 differ; repeated rows change nothing; ties in clustering go to the smaller ids; empty tables give empty results.
@@ -21,13 +20,14 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.names import cluster_links
-from ledgerloom.llm.text import distance, edit_keys, grams, near, plain
-from ledgerloom.session import cut, spread
+from ledgerloom.llm.text import distance, edit_keys, near, plain
+from ledgerloom.session import cut, spread, write_out
 
 MIN_COSINE, MIN_LINKAGE, GRAM = 0.20, 0.15, 4
 
@@ -165,73 +165,101 @@ def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["address", "class_key", "number", "street", "kind", "locality", "lkind", "pin", "rest"])
 
 
-def location_parties(addresses: DataFrame) -> DataFrame:
-    """(address, class_key, location) of every distinct string with a house number and a street."""
-    distinct = spread(addresses.select("address").where(F.trim("address") != ""), "address").dropDuplicates(["address"])
-    parsed = cut(distinct.mapInPandas(_parse_batches, _SCHEMA))
-    usable = parsed.where((F.col("number") != "") & (F.col("street") != ""))
-    parts = ["number", "street", "kind", "locality", "lkind", "pin", "rest"]
-    classes = cut(usable.groupBy("class_key").agg(F.min(F.struct(*parts)).alias("p")).select("class_key", "p.*"))
-    n = classes.count()
+#: Streets of one number whose edit keys are held at once; more are met in slices of the keys, each in a task of its own.
+SLICE = 20_000
 
-    def to_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = [(k, num, g) for k, num, st in zip(pdf["class_key"], pdf["number"], pdf["street"]) for g in grams([st], GRAM)]
-            yield pd.DataFrame(out, columns=["id", "number", "g"])
 
-    post = cut(spread(classes.select("class_key", "number", "street"), "class_key").mapInPandas(to_grams, "id string, number string, g string"))
-    df = post.groupBy("g").agg(F.count("*").alias("df"))
-    weighted = post.join(df, "g").withColumn("w", F.log(1 + F.lit(n) / F.col("df")))
-    norms = weighted.groupBy("id").agg(F.sum(F.col("w") * F.col("w")).alias("norm2"), F.first("number").alias("number"), F.array_sort(F.collect_list(F.struct("df", "g", "w"))).alias("v"))
+def near_streets(streets: DataFrame, per_slice: int = SLICE) -> DataFrame:
+    """(number, street, other) with street < other: distinct streets of one number that are alike.
 
-    def post_prefix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for i, number, norm2, v in zip(pdf["id"], pdf["number"], pdf["norm2"], pdf["v"]):
-                left = 1.0
-                for e in v:
-                    if left < MIN_COSINE * MIN_COSINE - 1e-9:
-                        break
-                    u2 = e["w"] ** 2 / norm2
-                    out.append((i, number, e["g"], u2**0.5))
-                    left -= u2
-            yield pd.DataFrame(out, columns=["id", "number", "g", "u"])
-
-    index = cut(norms.mapInPandas(post_prefix, "id string, number string, g string, u double"))
-    a, b = index.select(F.col("id").alias("a"), "number", "g", F.col("u").alias("ua")), index.select(F.col("id").alias("b"), "number", "g", F.col("u").alias("ub"))
-    met = a.join(b, ["number", "g"]).where(F.col("a") < F.col("b")).select("a", "b")
-
-    def to_edits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    What shares an edit key is met in memory, number by number, so only streets are moved and never their keys.
+    """
+    sized = streets.join(streets.groupBy("number").agg(F.ceil(F.count("*") / per_slice).alias("slices")), "number")
+    sliced = sized.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    # One row for each number and slice, many of them in one batch.
+    gathered = spread(sliced, "number", "slice").groupBy("number", "slice", "slices").agg(F.collect_list("street").alias("streets")).where(F.size("streets") > 1)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for at in range(0, len(pdf), 500):
-                some = pdf.iloc[at : at + 500]
-                yield pd.DataFrame([(num, st, k) for num, st in zip(some["number"], some["street"]) for k in edit_keys(st, 7)], columns=["number", "street", "key"])
-
-    streets = spread(classes.where(F.length("street") >= 4).select("number", "street").distinct(), "number", "street")
-    keys = cut(streets.mapInPandas(to_edits, "number string, street string, key bigint"))
-    slips = keys.join(keys.withColumnRenamed("street", "other"), ["number", "key"]).where(F.col("street") != F.col("other")).select("number", "street", "other").distinct()
-    ids = classes.select("number", "street", F.col("class_key").alias("a"))
-    met = met.union(slips.join(ids, ["number", "street"]).join(ids.toDF("number", "other", "b"), ["number", "other"]).where(F.col("a") < F.col("b")).select("a", "b")).distinct()
-    p = F.struct(*parts)
-    both = met.join(classes.select(F.col("class_key").alias("a"), p.alias("pa")), "a").join(classes.select(F.col("class_key").alias("b"), p.alias("pb")), "b")
+            for number, slice_, slices, names in zip(pdf["number"], pdf["slice"], pdf["slices"], pdf["streets"]):
+                names, keys, who = sorted(names), [], []
+                for i, name in enumerate(names):
+                    own = [k for k in edit_keys(name, 7) if k % slices == slice_]
+                    keys.append(np.array(own, np.int64))
+                    who.append(np.full(len(own), i))
+                keys, who = np.concatenate(keys), np.concatenate(who)
+                order = np.lexsort((who, keys))
+                keys, who = keys[order], who[order]
+                # A row and the one ``far`` rows on have one key; runs of one key are as long as the longest far.
+                met, far = [], 1
+                while len(at := np.flatnonzero(keys[far:] == keys[:-far])):
+                    met.append(np.unique(who[at] * len(names) + who[at + far]))
+                    far += 1
+                pairs = [divmod(int(x), len(names)) for x in np.unique(np.concatenate(met))] if met else []
+                alike = [(number, names[i], names[j]) for i, j in pairs if _alike(names[i], names[j])]
+                yield pd.DataFrame(alike, columns=["number", "street", "other"])
+
+    return gathered.mapInPandas(run, "number string, street string, other string").distinct()
+
+
+def street_cosines(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(street_a, street_b, cosine) of pairs of streets; the weights of the grams count every class of a street."""
+    n = classes.count()
+    t = F.concat(F.lit("^"), "street", F.lit("$"))
+    each = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(t) - (GRAM - 1))), lambda i: F.substring(t, i, F.lit(GRAM))))
+    df = classes.groupBy("street").agg(F.count("*").alias("n")).select("n", F.explode(each).alias("g")).groupBy("g").agg(F.sum("n").alias("df"))
+    named = pairs.select(F.col("street_a").alias("street")).union(pairs.select("street_b")).distinct()
+    weighted = named.select("street", F.explode(each).alias("g")).join(df, "g").withColumn("w", F.log(1 + F.lit(n) / F.col("df")))
+    vector = weighted.groupBy("street").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.map_from_entries(F.collect_list(F.struct("g", "w"))).alias("v"))
+    both = pairs.join(vector.toDF("street_a", "norm_a", "va"), "street_a").join(vector.toDF("street_b", "norm_b", "vb"), "street_b")
+    dot = F.aggregate(F.map_keys("va"), F.lit(0.0), lambda t, g: t + F.col("va")[g] * F.coalesce(F.col("vb")[g], F.lit(0.0)))
+    return both.select("street_a", "street_b", (dot / (F.col("norm_a") * F.col("norm_b"))).alias("cosine"))
+
+
+def _located(addresses: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((address, class_key) of every distinct string with a house number and a street, (class_key, id, cluster)); ids are in the order of the keys."""
+    distinct = spread(addresses.select("address").where(F.trim("address") != ""), "address").dropDuplicates(["address"])
+    parsed = write_out(distinct.mapInPandas(_parse_batches, _SCHEMA).where((F.col("number") != "") & (F.col("street") != "")))
+    parts = ["number", "street", "kind", "locality", "lkind", "pin", "rest"]
+    classes = parsed.groupBy("class_key").agg(F.min(F.struct(*parts)).alias("p")).select("class_key", "p.*")
+    tasks = int(parsed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    classes = write_out(classes.repartitionByRange(tasks, "class_key").sortWithinPartitions("class_key").withColumn("id", F.monotonically_increasing_id()))
+
+    p = F.struct("kind", "locality", "lkind", "pin", "rest")
+    one = classes.select("number", "street", F.col("id").alias("a"), p.alias("pa"))
+    two = classes.select("number", F.col("street").alias("other"), F.col("id").alias("b"), p.alias("pb"))
+    # Only streets that are equal or alike can be of one location, so these are all candidates.
+    same = one.join(two.withColumnRenamed("other", "street"), ["number", "street"]).where("a < b").withColumn("other", F.col("street"))
+    slips = near_streets(classes.select("number", "street").distinct()).join(one, ["number", "street"]).join(two, ["number", "other"])
+    both = same.unionByName(slips)
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            keep = [same_location(tuple(x[c] for c in parts), tuple(y[c] for c in parts)) for x, y in zip(pdf["pa"], pdf["pb"])]
-            yield pdf.loc[keep, ["a", "b"]]
-
-    links = spread(both, "a").mapInPandas(verify, "a string, b string")
-    vector = norms.select("id", F.map_from_entries(F.transform("v", lambda e: F.struct(e["g"], e["w"] / F.sqrt("norm2")))).alias("u"))
-    links = links.join(vector.toDF("a", "ua"), "a").join(vector.toDF("b", "ub"), "b")
-    dot = F.aggregate(F.map_keys("ua"), F.lit(0.0), lambda t, g: t + F.col("ua")[g] * F.coalesce(F.col("ub")[g], F.lit(0.0)))
-    links = links.select("a", "b", F.greatest(dot, F.lit(MIN_COSINE)).alias("sim"))
+            keep = []
+            for number, street, other, x, y in zip(pdf["number"], pdf["street"], pdf["other"], pdf["pa"], pdf["pb"]):
+                keep.append(same_location((number, street, *(x[c] for c in parts[2:])), (number, other, *(y[c] for c in parts[2:]))))
+            yield pdf.loc[keep, ["a", "b", "street", "other"]].set_axis(["a", "b", "street_a", "street_b"], axis=1)
+
+    links = cut(spread(both, "number", "street", "a").mapInPandas(verify, "a bigint, b bigint, street_a string, street_b string"))
+    cosines = street_cosines(links.where("street_a <> street_b").select("street_a", "street_b").distinct(), classes)
+    sim = F.when(F.col("street_a") == F.col("street_b"), F.lit(1.0)).otherwise(F.greatest("cosine", F.lit(MIN_COSINE)))
+    links = links.join(cosines, ["street_a", "street_b"], "left").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), sim.alias("sim"))
     clusters = cluster_links(links, MIN_LINKAGE)
-    out = usable.select("address", "class_key").join(clusters.withColumnRenamed("id", "class_key"), "class_key", "left")
-    return out.select("address", "class_key", F.coalesce("cluster", "class_key").alias("location"))
+    placed = classes.select("class_key", "id").join(clusters, "id", "left").select("class_key", "id", F.coalesce("cluster", "id").alias("cluster"))
+    return parsed.select("address", "class_key"), placed
+
+
+def location_parties(addresses: DataFrame) -> DataFrame:
+    """(address, class_key, location) of every distinct string with a house number and a street."""
+    usable, placed = _located(addresses)
+    placed = write_out(placed)
+    named = placed.join(placed.select(F.col("id").alias("cluster"), F.col("class_key").alias("location")), "cluster")
+    return usable.join(named.select("class_key", "location"), "class_key").select("address", "class_key", "location")
 
 
 def address_pairs(addresses: DataFrame) -> DataFrame:
     """(address_a, address_b): all pairs of different strings of one location, the smaller first."""
-    loc = cut(location_parties(addresses).select("address", "location"))
+    usable, placed = _located(addresses)
+    loc = write_out(usable.join(placed.select("class_key", "cluster"), "class_key").select("address", "cluster"))
     a, b = loc.withColumnRenamed("address", "address_a"), loc.withColumnRenamed("address", "address_b")
-    return a.join(b, "location").where(F.col("address_a") < F.col("address_b")).select("address_a", "address_b")
+    return a.join(b, "cluster").where(F.col("address_a") < F.col("address_b")).select("address_a", "address_b")
