@@ -8,14 +8,14 @@ verified. A segment of one field is always keyed together with another field (or
 so no key is shared by all records of one vendor however many they are. Where a field is missing, the
 key says so, and meets only records with which the field is missing on a side:
 
-    T  total, with each segment of the number          S  total, with the last digits of the number
-    N  number, with each segment of the total, its digits in order and its neighbourhood (total damaged)
-    A  total, with the day of the invoice              (number different or missing)
-    D  day, with the number less one character         (total different or missing)
-    R  day, with the last digits of the number         (a part of the number dropped, total different or missing)
-    X  number, with the tax number                     (total missing, another day)
-    M  number, total missing and day missing           G  total, number missing and day missing
-    B  day, with what totals alike share               (number missing, total damaged)
+    B  total, its digits in order and its neighbourhood, with the day        (number different or missing)
+    N  number, with the total, its digits in order and its neighbourhood     (another day, or missing)
+    T  total, with each segment of the number, day missing                   (number different)
+    S  total, with the last digits of the number, day missing                (a part of the number dropped)
+    D  number, with the day, total missing         E  number, with the day   (total different)
+    R  day, with the number less one character or its last digits            (number different, total missing)
+    X  number, with the tax number, total missing                            (another day)
+    M  number, total missing and day missing       G  total, number missing and day missing
 
 Together they reach every pair that ``same_invoice`` accepts (tested).
 
@@ -142,32 +142,50 @@ def _one_off(s: str) -> set[str]:
 
 
 def _keys(number: str, serial: str, tax: str, total: str, day: str, index: bool) -> set[int]:
-    def seg(s: str) -> list[str]:
-        return [f"{len(s)}.{i}.{t}" for i, t in segments(s)] if index else [f"{size}.{i}.{t}" for size, i, t in probes(s)]
+    narrow = [f"{len(number)}.{i}.{t}" for i, t in segments(number)] if number else []
+
+    def wide() -> list[str]:
+        return [f"{size}.{i}.{t}" for size, i, t in probes(number)]
 
     def missing(*fields: str) -> list[str]:
         """Index: which of the fields this record lacks; probe: what the other must lack so that each is missing on a side."""
         own = "".join("01"[not f] for f in fields)
         return [own] if index else ["".join(m) for m in product(*("01" if x == "1" else "1" for x in own))]
 
-    on = date.fromisoformat(day).toordinal() if day else 0
-    days = [] if not day else [on] if index else [on - 1, on, on + 1]
+    def days(own: bool) -> list[int]:
+        """The pair of days that a record lies in, or the two pairs with what is at most a day away."""
+        on = date.fromisoformat(day).toordinal()
+        return [on // 2] if own else [(on - 1) // 2, (on + 1) // 2]
+
     # Totals that differ by one edit, by the order of digits, or by at most 100 in the last places.
     step = int(total) // 101 if total else 0
     alike = [*_one_off(total), "s" + "".join(sorted(total)), *(f"c{step + d}" for d in ((0,) if index else (-1, 0, 1)))] if total else []
+    # A field that must be missing on a side is seldom missing: the side that lacks it asks widely, or is kept widely, and the other gives its own form.
+    own_form, lacking = ("0", "1") if index else ("1", "0")
     keys = []
     if total and number:
-        keys += [f"T|{total}|{s}" for s in seg(number)] + [f"N|{number}|{s}" for s in [*seg(total), *alike]]
-        keys += [f"S|{total}|{serial}"] if serial else []
+        if index or day:
+            keys += [f"T{own_form}|{total}|{s}" for s in narrow]
+        if not day:
+            keys += [f"T{lacking}|{total}|{s}" for s in wide()]
+        keys += [f"N|{number}|{s}" for s in alike]
+        keys += [f"S|{total}|{serial}|{m}" for m in missing(day)] if serial else []
     if number:
         keys += [f"M|{number}|{m}" for m in missing(total, day)]
         keys += [f"X|{number}|{tax[:14]}|{m}" for m in missing(total)] if tax else []
-        keys += [f"D|{d}|{s}" for d in days for s in _one_off(number)]
-        keys += [f"R|{d}|{serial}" for d in days] if serial and tax else []
+    if number and day:
+        keys += [f"D|{d}|{number}|{m}" for d in days(index) for m in missing(total)]
+        if tax:
+            keys += [f"E|{d}|{number}" for d in days(index)]
+            short = [*_one_off(number), *([f"s{serial}"] if serial else [])]
+            if index or total:
+                keys += [f"R{own_form}|{d}|{s}" for s in short for d in days(True)]
+            if not total:
+                keys += [f"R{lacking}|{d}|{s}" for s in short for d in days(False)]
     if total:
-        keys += [f"A|{total}|{d}" for d in days]
         keys += [f"G|{total}|{m}" for m in missing(number, day)]
-        keys += [f"B|{d}|{t}|{m}" for d in days for t in alike for m in missing(number)] if tax else []
+        # Totals that differ need tax numbers that are alike, so both sides have one.
+        keys += [f"B|{d}|{t}" for d in days(index) for t in (alike if tax else [total])] if day else []
     return {xxhash.xxh64_intdigest(k) - (1 << 63) for k in keys}
 
 
@@ -223,9 +241,10 @@ def build_segments(held: DataFrame) -> DataFrame:
 def append_batch(records: DataFrame, path: str) -> None:
     """Adds the accepted records of one or more batches to the index in ``path``; a batch that is there already is replaced."""
     held, jobs = entries(records.where("accepted"))
-    for name, df in (("segments", build_segments(held)), ("records", held), ("jobs", jobs)):
-        # Small batches share a task, a large one is split by adaptive execution; no task writes a whole batch however large it is.
-        df.hint("rebalance", "batch_no").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_no").parquet(f"{path}/{name}")
+    # Small batches share a task, a large one is split: by ranges before its segments are made, so that these are never moved, or by adaptive execution.
+    ranges = held.repartitionByRange(int(held.sparkSession.conf.get("spark.sql.shuffle.partitions")), "batch_no", "entry")
+    for name, df in (("segments", build_segments(ranges)), ("records", held.hint("rebalance", "batch_no")), ("jobs", jobs.hint("rebalance", "batch_no"))):
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_no").parquet(f"{path}/{name}")
 
 
 #: Columns of the stored tables, with the batch last as it is their partition.
@@ -304,10 +323,15 @@ def same_invoice(a: dict, b: dict) -> bool:
     # What no clause below accepts whatever the parties are, before names are parsed.
     if number != "same" and (day == "other" or total not in ("same", "near") and (number == "none" or total == "other")):
         return False
-    buyer = _party(a["buyer"], b["buyer"])
-    vendor = _party(a["vendor"], b["vendor"]) if tax == "none" else "same"
-    if vendor == "other":
+    return _clauses(a, b, number, tax, total, day) and (tax != "none" or _party(a["vendor"], b["vendor"]) != "other")
+
+
+def _clauses(a: dict, b: dict, number: str, tax: str, total: str, day: str) -> bool:
+    if number == "same" and total in ("same", "near") and day == "same":
+        return True  # whatever the buyer, so no name is parsed
+    if tax not in ("same", "near") and (number == "same" and total == "other" or number == "none" and (total != "same" or day != "same")):
         return False
+    buyer = _party(a["buyer"], b["buyer"])
     if number == "same":
         if total == "same":
             return day != "other" and (buyer != "other" or day == "same") or buyer in ("same", "near")
